@@ -1,0 +1,10 @@
+"""Every registered query of the library and its DuckDB equivalent."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+
+def flagship(spark, sf_dir):
+    return QUERIES["bm25_top10"](spark, sf_dir)

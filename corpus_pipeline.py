@@ -8,16 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm.common import ensure_checkpoint_dir, table
 from tarn.llm.minhash import drop_near_duplicates
+from tarn.llm.nbsvm import fit, keep_good
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return keep_good(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
     return drop_near_duplicates(docs)
 
 
-STAGES = [("MinHash near-dedup", near_dedup)]
+STAGES = [("quality classifier", quality), ("MinHash near-dedup", near_dedup)]
 
 #: SQL can express neither the classifier nor the sketches; tests/llm compares with brute force.
 ORACLE_SQL = None

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm.common import table
 from tarn.llm.minhash import near_duplicates
+from tarn.llm.nbsvm import classify, fit
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,5 +14,14 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_minhash_near_dedup": op5_minhash_near_dedup}
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier keeps, with both scores."""
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, fit(docs, table(spark, sf_dir, "labels"))).where("keep").select("doc_id", "quality_score", "toxic_score")
+
+
+QUERIES = {
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
+}
 ORACLES: dict[str, str] = {}

@@ -20,6 +20,16 @@ def _alnum() -> np.ndarray:
     return _cache["alnum"]
 
 
+def _classes() -> np.ndarray:
+    """0 for white space and NUL, 1 for letters and digits, 2 for all else."""
+    if "classes" not in _cache:
+        blank = np.fromiter((chr(i).isspace() for i in range(0x110000)), dtype=bool, count=0x110000)
+        x = np.where(_alnum(), 1, np.where(blank, 0, 2)).astype(np.int8)
+        x[0] = 0
+        _cache["classes"] = x
+    return _cache["classes"]
+
+
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     key = "inverse" if inverse else "powers"
@@ -57,21 +67,23 @@ def chunks(texts: list, limit: int = 1 << 20):
 class Words:
     """Words of a run of texts: ``hash``, ``start``, ``end`` of each, ``counts`` by text.
 
-    Offsets are into ``joined``, the lower-cased texts separated by NUL.
+    Offsets are into ``joined``, the lower-cased texts separated by NUL. With
+    ``symbols``, runs of characters that are neither alphanumeric nor white
+    space are words too.
     """
 
     __slots__ = ("joined", "hash", "start", "end", "counts", "first")
 
-    def __init__(self, texts: list):
+    def __init__(self, texts: list, symbols: bool = False):
         parts = [t.lower() if t else "" for t in texts]
         self.joined = "\x00".join(parts)
         cp = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         n = len(cp)
         inside = np.zeros(n + 2, dtype=np.int8)
-        inside[1:-1] = _alnum()[cp]
-        edge = np.diff(inside)
-        self.start = np.flatnonzero(edge == 1)
-        self.end = np.flatnonzero(edge == -1)
+        inside[1:-1] = (_classes() if symbols else _alnum())[cp]
+        edge = np.diff(inside) != 0
+        self.start = np.flatnonzero(edge & (inside[1:] != 0))
+        self.end = np.flatnonzero(edge & (inside[:-1] != 0))
         prefix = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(cp * powers(n), out=prefix[1:])
         h = (prefix[self.end] - prefix[self.start]) * powers(n + 1, True)[self.start]

@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarn.llm.common import ensure_checkpoint_dir, table
 from tarn.llm.minhash import drop_near_duplicates
 from tarn.llm.nbsvm import fit, keep_good
+from tarn.llm.pii import sanitise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,7 +25,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_duplicates(docs)
 
 
-STAGES = [("quality classifier", quality), ("MinHash near-dedup", near_dedup)]
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mentions are masked and disclosing terms generalised or removed; ``n_chars`` follows the text."""
+    return sanitise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("MinHash near-dedup", near_dedup),
+    ("PII", pii),
+]
 
 #: SQL can express neither the classifier nor the sketches; tests/llm compares with brute force.
 ORACLE_SQL = None

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tarn.llm.common import table
 from tarn.llm.minhash import near_duplicates
 from tarn.llm.nbsvm import classify, fit
+from tarn.llm.pii import sanitise
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +15,11 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, sanitised."""
+    return sanitise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_mentions", "n_terms")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps, with both scores."""
     docs = table(spark, sf_dir, "documents")
@@ -22,6 +28,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op8_pii_sanitisation": op8_pii_sanitisation,
     "op9_quality_classifier": op9_quality_classifier,
 }
 ORACLES: dict[str, str] = {}

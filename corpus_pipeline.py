@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm.common import ensure_checkpoint_dir, table
+from tarn.llm.mixing import mix
 from tarn.llm.minhash import drop_near_duplicates
 from tarn.llm.nbsvm import fit, keep_good
 from tarn.llm.pii import sanitise
@@ -30,10 +31,16 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sanitise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in their target weights; a document of a later epoch is a row of its own."""
+    return mix(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 STAGES = [
     ("quality classifier", quality),
     ("MinHash near-dedup", near_dedup),
     ("PII", pii),
+    ("mixing to weights", mixing),
 ]
 
 #: SQL can express neither the classifier nor the sketches; tests/llm compares with brute force.

@@ -41,6 +41,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df``, materialised, and marked for broadcast only if it has at most ``most`` rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have (names compare without case)."""
     taken = {c.lower() for c in df.columns}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm.common import table
+from tarn.llm import mixing
 from tarn.llm.minhash import near_duplicates
 from tarn.llm.nbsvm import classify, fit
 from tarn.llm.pii import sanitise
@@ -15,6 +16,11 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to temperature weights, as many tokens as there are."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "epoch", "n_tokens", "text")
+
+
 def op8_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, sanitised."""
     return sanitise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_mentions", "n_terms")
@@ -28,7 +34,8 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op7_mixing_to_weights": op7_mixing_to_weights,
     "op8_pii_sanitisation": op8_pii_sanitisation,
     "op9_quality_classifier": op9_quality_classifier,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op7_mixing_to_weights": mixing.ORACLE_SQL}

@@ -7,14 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.llm.bpe import encode_documents
 from tarn.llm.common import ensure_checkpoint_dir, table
 from tarn.llm.mixing import mix
 from tarn.llm.minhash import drop_near_duplicates
 from tarn.llm.nbsvm import fit, keep_good
 from tarn.llm.pii import sanitise
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
@@ -36,11 +35,17 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, tokens, round_trip) of every document."""
+    return encode_documents(docs)
+
+
 STAGES = [
     ("quality classifier", quality),
     ("MinHash near-dedup", near_dedup),
     ("PII", pii),
     ("mixing to weights", mixing),
+    ("BPE encoding", tokens),
 ]
 
 #: SQL can express neither the classifier nor the sketches; tests/llm compares with brute force.

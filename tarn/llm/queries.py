@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm.common import table
 from tarn.llm import mixing
+from tarn.llm.bpe import encode_documents
+from tarn.llm.common import table
 from tarn.llm.minhash import near_duplicates
 from tarn.llm.nbsvm import classify, fit
 from tarn.llm.pii import sanitise
 
 
+def op3_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens, and whether they decode to its text."""
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every near-duplicate document and the one kept in its stead."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -33,6 +39,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_bpe_encoding": op3_bpe_encoding,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_mixing_to_weights": op7_mixing_to_weights,
     "op8_pii_sanitisation": op8_pii_sanitisation,

@@ -10,6 +10,7 @@ from tarn.llm.common import table
 from tarn.llm.minhash import near_duplicates
 from tarn.llm.nbsvm import classify, fit
 from tarn.llm.pii import sanitise
+from tarn.llm.suffix import repeated_passages
 
 
 def op3_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,11 +39,17 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, fit(docs, table(spark, sf_dir, "labels"))).where("keep").select("doc_id", "quality_score", "toxic_score")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated passage of 50 words or more."""
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_bpe_encoding": op3_bpe_encoding,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_mixing_to_weights": op7_mixing_to_weights,
     "op8_pii_sanitisation": op8_pii_sanitisation,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES = {"op7_mixing_to_weights": mixing.ORACLE_SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import mixing
+from tarn.llm import mixing, topk
 from tarn.llm.bpe import encode_documents
 from tarn.llm.common import table
 from tarn.llm.minhash import near_duplicates
@@ -13,6 +13,11 @@ from tarn.llm.pii import sanitise
 from tarn.llm.suffix import repeated_passages
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows of every embedding."""
+    return topk.all_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op3_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens, and whether they decode to its text."""
     return encode_documents(table(spark, sf_dir, "documents"))
@@ -45,6 +50,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_exact_top_k": op1_exact_top_k,
     "op3_bpe_encoding": op3_bpe_encoding,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_mixing_to_weights": op7_mixing_to_weights,
@@ -52,4 +58,4 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLES = {"op7_mixing_to_weights": mixing.ORACLE_SQL}
+ORACLES = {"op1_exact_top_k": topk.ORACLE_SQL, "op7_mixing_to_weights": mixing.ORACLE_SQL}

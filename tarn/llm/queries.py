@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tarn.llm import mixing, topk
 from tarn.llm.bpe import encode_documents
 from tarn.llm.common import table
+from tarn.llm.licenses import scan_licences
 from tarn.llm.minhash import near_duplicates
 from tarn.llm.nbsvm import classify, fit
 from tarn.llm.pii import sanitise
@@ -28,6 +29,11 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence notice in the documents."""
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to temperature weights, as many tokens as there are."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "epoch", "n_tokens", "text")
@@ -53,6 +59,7 @@ QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
     "op3_bpe_encoding": op3_bpe_encoding,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_license_scan": op6_license_scan,
     "op7_mixing_to_weights": op7_mixing_to_weights,
     "op8_pii_sanitisation": op8_pii_sanitisation,
     "op9_quality_classifier": op9_quality_classifier,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import mixing, topk
+from tarn.llm import hostrules, mixing, topk, urlfilter
 from tarn.llm.bpe import encode_documents
 from tarn.llm.common import table
 from tarn.llm.licenses import scan_licences
@@ -19,11 +19,21 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.all_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op2_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents kept, with their host's failures and shrunk rate."""
+    return hostrules.judge(table(spark, sf_dir, "documents")).where("keep").select("doc_id", "host", "docs", "failed", "rate")
+
+
 def op3_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens, and whether they decode to its text."""
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's decision."""
+    return urlfilter.decide(table(spark, sf_dir, "pages"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every near-duplicate document and the one kept in its stead."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -57,7 +67,9 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_top_k": op1_exact_top_k,
+    "op2_host_quality_rules": op2_host_quality_rules,
     "op3_bpe_encoding": op3_bpe_encoding,
+    "op4_url_filter": op4_url_filter,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_mixing_to_weights": op7_mixing_to_weights,
@@ -65,4 +77,9 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLES = {"op1_exact_top_k": topk.ORACLE_SQL, "op7_mixing_to_weights": mixing.ORACLE_SQL}
+ORACLES = {
+    "op1_exact_top_k": topk.ORACLE_SQL,
+    "op2_host_quality_rules": hostrules.ORACLE_SQL,
+    "op4_url_filter": urlfilter.ORACLE_SQL,
+    "op7_mixing_to_weights": mixing.ORACLE_SQL,
+}

@@ -1 +1 @@
-
+"""Column functions of the text-context model."""

@@ -11,8 +11,9 @@ document as a run through it can reach, goes to the partition of its hash.
 There the suffixes that start at the anchors are sorted by merge sort.
 Comparison is logarithmic: prefix polynomial hashes and binary search find the
 longest common extension of two suffixes, then the next words decide.
-Neighbours in suffix order that agree, with what precedes them, on ``length``
-words or more mark each other, once their words have been compared letter by
+Anchors whose surroundings are the same letter by letter mark each other
+before, and one stands for them. Neighbours in suffix order that agree, with
+what precedes them, on ``length`` words or more mark each other, once their words have been compared letter by
 letter, for hashes may collide. Where neighbours do not settle a group, since
 partners to the left differ from those to the right, every run of ``length``
 words through its anchors is looked up in the group in the same way. Marks are
@@ -110,8 +111,8 @@ def _surroundings(k: int, length: int):
                 lo, hi = np.maximum(word - (length - k), w.first[doc]), np.minimum(word + length, w.first[doc + 1])
                 slices = [w.joined[s:e] for s, e in zip(w.start[lo].tolist(), w.end[hi - 1].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(ids[a:b][doc]), pa.array(at.astype(np.int32)), pa.array((word - lo).astype(np.int32)), pa.array(slices, pa.string())],
-                    ["h", "doc", "at", "before", "words"],
+                    [pa.array(h.view(np.int64)), pa.array(ids[a:b][doc]), pa.array(at.astype(np.int32)), pa.array((word - lo).astype(np.int32)), pa.array((hi - lo).astype(np.int32)), pa.array(slices, pa.string())],
+                    ["h", "doc", "at", "before", "size", "words"],
                 )
 
     return run
@@ -167,8 +168,13 @@ def suffix_order(hashes: Hashes, ids: np.ndarray, start: np.ndarray, end: np.nda
     return order
 
 
-def _equal_words(w: Words, cp: np.ndarray, compact: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Whether the runs of ``n`` words at x and y are the same, letter by letter."""
+def _equal_words(w: Words, cp: np.ndarray, compact: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, at_once: int = 100_000) -> np.ndarray:
+    """Whether the runs of ``n`` words at x and y are the same, letter by letter; about ``at_once`` words at a time."""
+    part = np.cumsum(n) // at_once
+    edges = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(n)]
+    if len(edges) > 2:
+        return np.concatenate([_equal_words(w, cp, compact, x[a:b], y[a:b], n[a:b], int(n[a:b].sum()) + 1) for a, b in zip(edges[:-1], edges[1:])])
+
     def spread(a, b, count):
         total = int(count.sum())
         off = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
@@ -184,8 +190,13 @@ def _equal_words(w: Words, cp: np.ndarray, compact: np.ndarray, x: np.ndarray, y
     return same
 
 
-def match(texts: list, before: np.ndarray, group: np.ndarray, k: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, partner row, words back from the anchor, words on from it) of the repeated runs among rows sorted by group."""
+def match(
+    texts: list, before: np.ndarray, group: np.ndarray, whole: np.ndarray, k: int, length: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, partner row, words back from the anchor, words on from it) of the repeated runs among rows sorted by group.
+
+    ``whole`` rows are known to be repeated from end to end.
+    """
     w = Words(texts)
     ids, hashes = w.hash, Hashes(w.hash)
     all_cp = np.frombuffer(w.joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -205,11 +216,13 @@ def match(texts: list, before: np.ndarray, group: np.ndarray, k: int, length: in
     good = _equal_words(w, cp, compact, start[x] - left, start[y] - left, left + right)
     x, y, left, right = x[good], y[good], left[good], right[good]
     out = [np.r_[x, y], np.r_[y, x], np.r_[left, left], np.r_[right, right]]
-    # rows whose whole surroundings are matched need no more; others and their groups are looked up run by run
-    whole = np.zeros(len(texts), dtype=bool)
-    whole[out[0][(out[2] == before[out[0]]) & (out[3] == (hi - start)[out[0]])]] = True
+    # what the neighbours cover of each row; where that is not all, the group is looked up run by run
+    far_left, far_right = np.where(whole, before, 0), np.where(whole, hi - start, 0)
+    np.maximum.at(far_left, out[0], out[2])
+    np.maximum.at(far_right, out[0], out[3])
+    done = (far_left == before) & (far_right == hi - start)
     counts = np.bincount(group)
-    rows = np.flatnonzero(np.isin(group, group[~whole & (counts[group] > 1)]))
+    rows = np.flatnonzero(np.isin(group, group[~done & (counts[group] > 1)]))
     back = np.arange(length - k + 1)
     r, back = np.repeat(rows, len(back)), np.tile(back, len(rows))
     at = start[r] - back
@@ -222,6 +235,8 @@ def match(texts: list, before: np.ndarray, group: np.ndarray, k: int, length: in
     pair = np.flatnonzero(value[1:] == value[:-1])
     if len(pair):
         good = (group[r[pair]] == group[r[pair + 1]]) & (back[pair] == back[pair + 1])
+        covered = (back <= far_left[r]) & (length - back <= far_right[r])
+        good &= ~(covered[pair] & covered[pair + 1])
         pair = pair[good]
         pair = pair[_equal_words(w, cp, compact, at[pair], at[pair + 1], np.full(len(pair), length))]
         a, b, n = r[pair], r[pair + 1], back[pair]
@@ -231,38 +246,59 @@ def match(texts: list, before: np.ndarray, group: np.ndarray, k: int, length: in
 
 
 def _matching(k: int, length: int, rows_at_once: int = 4000):
-    """Streams rows sorted by hash; whole groups are matched together, several small ones at a time."""
-
-    def settle(held: list) -> pa.RecordBatch:
-        h, doc, at, before = (np.concatenate([c.column(i).to_numpy(zero_copy_only=False) for c in held]) for i in range(4))
-        texts = [t for c in held for t in c.column(4).to_pylist()]
-        group = np.cumsum(np.r_[0, (h[1:] != h[:-1]).astype(np.int64)]) if len(h) else h
-        row, partner, left, right = match(texts, before.astype(np.int64), group, k, length)
-        # for each row, one mark for each reach and partner document
-        cols = [doc[row], at[row] - left, at[row] + right, doc[partner]]
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["doc", "lo", "hi", "other"])
+    """Streams rows sorted by hash. Rows of a group with the very same words mark each other
+    as they pass, and one of them is held; groups that hold several are matched, small ones together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        count, last = 0, None
+        marks: tuple[list, list, list, list] = ([], [], [], [])
+        held: list[tuple] = []  # (group, words, doc, at, before, several)
+        here: dict[str, list] = {}  # words -> [doc, at, before, size, several] in the group that passes
+        last, groups = None, 0
+
+        def mark(doc: int, lo: int, hi: int, other: int) -> None:
+            for column, value in zip(marks, (doc, lo, hi, other)):
+                column.append(value)
+
+        def close() -> None:
+            nonlocal groups
+            if len(here) > 1:
+                held.extend((groups, words, x[0], x[1], x[2], x[4]) for words, x in here.items())
+                groups += 1
+            here.clear()
+
+        def settle() -> pa.RecordBatch:
+            cols = [np.array(m, dtype=np.int64) for m in marks]
+            if held:
+                group, texts, doc, at, before, several = zip(*held)
+                doc, at, before = np.array(doc), np.array(at), np.array(before)
+                row, partner, left, right = match(list(texts), before, np.array(group), np.array(several), k, length)
+                more = (doc[row], at[row] - left, at[row] + right, doc[partner])
+                cols = [np.r_[a, b] for a, b in zip(cols, more)]
+            for m in marks:
+                m.clear()
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["doc", "lo", "hi", "other"])
+
         for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False)
-            if not len(h):
-                continue
-            edges = np.r_[0, np.flatnonzero(h[1:] != h[:-1]) + 1, len(h)]
-            if last is not None and h[0] != last and count >= rows_at_once:
-                yield settle(held)
-                held, count = [], 0
-            from_ = 0
-            for e in edges[1:]:
-                if count + (e - from_) >= rows_at_once and e < len(h):
-                    yield settle([*held, batch.slice(from_, e - from_)])
-                    held, count, from_ = [], 0, int(e)
-            held.append(batch.slice(from_))
-            count += len(h) - from_
-            last = h[-1]
-        if held:
-            yield settle(held)
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            for h, doc, at, before, size, words in zip(*columns):
+                if h != last:
+                    close()
+                    last = h
+                    if len(held) >= rows_at_once or len(marks[0]) >= 100_000:
+                        groups = 0
+                        yield settle()
+                first = here.get(words)
+                if first is None:
+                    here[words] = [doc, at, before, size, False]
+                    continue
+                mark(doc, at - before, at - before + size, first[0])
+                if not first[4]:
+                    first[4] = True
+                    mark(first[0], first[1] - first[2], first[1] - first[2] + first[3], doc)
+        close()
+        yield settle()
 
     return run
 
@@ -284,7 +320,7 @@ def repeated_passages(docs: DataFrame, length: int = 50, k: int = 20, id_col: st
     twice = cut(found.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1").select("doc", "h"))
     wanted = twice.groupBy("doc").agg(F.collect_set("h").alias("hs"))
     held = rows.join(wanted, "doc").groupBy("doc").agg(F.min("text").alias("text"), F.first("hs").alias("hs")).select("doc", "text", "hs")
-    around = held.mapInArrow(_surroundings(k, length), "h long, doc long, at int, before int, words string")
+    around = held.mapInArrow(_surroundings(k, length), "h long, doc long, at int, before int, size int, words string")
     marks = around.repartition("h").sortWithinPartitions("h", "doc", "at").mapInArrow(_matching(k, length), "doc long, lo long, hi long, other long")
     marks = marks.groupBy("doc", "lo", "hi").agg(F.collect_set("other").alias("others"))
     order = Window.partitionBy("doc").orderBy("lo", "hi")

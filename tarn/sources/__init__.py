@@ -1 +1 @@
-
+"""Storage and readers."""

@@ -84,10 +84,13 @@ def top(ranked: DataFrame, k: int) -> DataFrame:
     return out.limit(k) if k > 0 else out
 
 
-def knn(vectors: DataFrame, query: list[float] | DataFrame, top_k: int = 10, id_col: str = "unit_id", vector_col: str = "embedding") -> DataFrame:
+def knn(
+    vectors: DataFrame, query: list[float] | DataFrame, top_k: int = 10, id_col: str = "unit_id", vector_col: str = "embedding", clamp: bool = True
+) -> DataFrame:
     """(id, score): the ``top_k`` (10 if <= 0) nearest by cosine; negative similarities are reported as 0.
 
-    Order is by the raw similarity, rounded, then id. ``query`` is a vector, or a frame of one
+    Order is by the raw similarity, rounded, then id; without ``clamp`` the raw similarity
+    is the score too, so that ``fuse`` ranks by it. ``query`` is a vector, or a frame of one
     row and one column ``q``.
     """
     k = top_k if top_k > 0 else 10
@@ -97,7 +100,7 @@ def knn(vectors: DataFrame, query: list[float] | DataFrame, top_k: int = 10, id_
         rows, q = vectors, F.array(*(F.lit(float(x)) for x in query))
     raw = F.round(V.cosine(F.col(vector_col), q), 5)
     out = rows.select(F.col(id_col).alias("id"), raw.alias("raw")).orderBy(F.desc("raw"), "id").limit(k)
-    return out.select("id", F.greatest("raw", F.lit(0.0)).alias("score"))
+    return out.select("id", (F.greatest("raw", F.lit(0.0)) if clamp else F.col("raw")).alias("score"))
 
 
 def lsh_knn(vectors: DataFrame, query: list[float], top_k: int = 10, tables: int = 12, bucket: float = 0.4, seed: int = 3) -> DataFrame:

@@ -292,7 +292,7 @@ _BM20 = f"{s_bm25(WORDS)}, b20 AS (SELECT * FROM bm ORDER BY score DESC, id LIMI
 
 @query(f"WITH {_BM20}, {S_KNN.format(k=20)}, {s_ranked('r1', 'b20')}, {s_ranked('r2', 'knn', 'raw')}, {s_fused('r1', 'r2')} SELECT * FROM fused")
 def rrf_two(spark, d):
-    return rank.fuse([rank.bm25(I.doc_units(spark, d), WORDS, 20), rank.knn(I.vectors(spark, d), _q7(spark, d), 20)])
+    return rank.fuse([rank.bm25(I.doc_units(spark, d), WORDS, 20), rank.knn(I.vectors(spark, d), _q7(spark, d), 20, clamp=False)])
 
 
 def s_near(start: str, depth: int) -> str:
@@ -304,7 +304,7 @@ near AS (SELECT id, round(1.0::DOUBLE / (1 + min(depth)), 6) AS score FROM walk
 @query(f"WITH RECURSIVE {_BM20}, {S_KNN.format(k=20)}, {I.S_EDGES}, {s_near('7', 3)}, {s_ranked('r1', 'b20')}, {s_ranked('r2', 'knn', 'raw')}, {s_ranked('r3', 'near')}, "
        f"{s_fused('r1', 'r2', 'r3', k=20)} SELECT * FROM fused")
 def rrf_three(spark, d):
-    return rank.fuse([rank.bm25(I.doc_units(spark, d), WORDS, 20), rank.knn(I.vectors(spark, d), _q7(spark, d), 20), graph.neighbourhood(I.edges(spark, d), "7", 3)], 20)
+    return rank.fuse([rank.bm25(I.doc_units(spark, d), WORDS, 20), rank.knn(I.vectors(spark, d), _q7(spark, d), 20, clamp=False), graph.neighbourhood(I.edges(spark, d), "7", 3)], 20)
 
 
 def _vector7(spark, d):

@@ -1,0 +1,14 @@
+from tarn.operators import rank
+
+
+def test_fused_lists_rank_negative_similarities_by_their_value(spark):
+    vectors = spark.createDataFrame([("a", [-1.0, 0.1]), ("b", [-0.2, 1.0])], "unit_id string, embedding array<float>")
+    near = rank.knn(vectors, [1.0, 0.0], 2, clamp=False)
+    assert [r["id"] for r in rank.fuse([near]).collect()] == ["b", "a"]
+    assert [r["score"] for r in rank.knn(vectors, [1.0, 0.0], 2).collect()] == [0.0, 0.0]
+
+
+def test_fusion_of_two_lists(spark):
+    lists = [spark.createDataFrame(x, "id string, score double") for x in ([("x", 2.0), ("y", 1.0)], [("y", 2.0), ("z", 1.0)])]
+    found = {r["id"]: r["score"] for r in rank.fuse(lists).collect()}
+    assert {k: round(v, 6) for k, v in found.items()} == {"x": round(1 / 61, 6), "y": round(1 / 62 + 1 / 61, 6), "z": round(1 / 62, 6)}

@@ -97,22 +97,22 @@ def mix(
     where a budget ends among them they are left, so that source falls short
     by less than their tokens. An empty table gives no rows.
     """
-    src, key, n = fresh(docs, "src_"), fresh(docs, "key_"), fresh(docs, "n_")
+    src, key, n, of, whole, last, take = (fresh(docs, x) for x in ("src_", "key_", "n_", "of_", "whole_", "last_", "take_"))
     text = F.col(text_col).cast("string")
     keyed = docs.withColumns({src: F.col(source_col).cast("string"), key: mixing_key(F.col(id_col), seed), n: token_count(text)}).where(
         F.col(src).isNotNull() & F.col(key).isNotNull() & (F.col(n) > 0)
     )
     cuts = source_cuts(keyed.select(F.col(src).alias("src"), F.col(key).alias("key"), F.col(n).alias("n")), weights, temperature, total)
-    cuts = cuts.select(F.col("src").alias(src + "r"), F.col("epochs").alias(src + "e"), F.col("last_key").alias(src + "k"), F.col("last_take").alias(src + "t"))
-    joined = keyed.join(small(cuts), F.col(src) == F.col(src + "r"))
-    more = (F.col(key) < F.col(src + "k")) | ((F.col(key) == F.col(src + "k")) & (F.col(src + "t") > 0))
-    passes = F.col(src + "e").cast("int") + F.coalesce(more, F.lit(False)).cast("int")
+    cuts = cuts.select(F.col("src").alias(of), F.col("epochs").alias(whole), F.col("last_key").alias(last), F.col("last_take").alias(take))
+    joined = keyed.join(small(cuts), F.col(src) == F.col(of))
+    more = (F.col(key) < F.col(last)) | ((F.col(key) == F.col(last)) & (F.col(take) > 0))
+    passes = F.col(whole).cast("int") + F.coalesce(more, F.lit(False)).cast("int")
     epoch, taken = fresh(docs, "epoch"), fresh(docs, "n_tokens")
     rows = joined.where(passes > 0).withColumn(epoch, F.explode(F.sequence(F.lit(0), passes - 1)))
-    partial = (F.col(epoch) == F.col(src + "e")) & (F.col(key) == F.col(src + "k")) & (F.col(src + "t") < F.col(n))
+    partial = (F.col(epoch) == F.col(whole)) & (F.col(key) == F.col(last)) & (F.col(take) < F.col(n))
     pieces = F.regexp_extract_all(text, F.lit(f"[ \\t\\n\\r\\f]*{TOKEN}"), F.lit(0))
-    head = F.array_join(F.slice(pieces, F.lit(1), F.col(src + "t").cast("int")), "")
-    out = {text_col: F.when(partial, head).otherwise(text), taken: F.when(partial, F.col(src + "t")).otherwise(F.col(n))}
+    head = F.array_join(F.slice(pieces, F.lit(1), F.col(take).cast("int")), "")
+    out = {text_col: F.when(partial, head).otherwise(text), taken: F.when(partial, F.col(take)).otherwise(F.col(n))}
     return rows.withColumns(out).select(*docs.columns, epoch, taken)
 
 

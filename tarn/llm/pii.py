@@ -169,7 +169,7 @@ def mask(text: str, terms: dict[str, bool]) -> tuple[str, int, int]:
     return "".join(out), len(found), hidden
 
 
-def _masking(names: list[str], text_at: int):
+def _masking(names: list[str], text_at: int, counts: tuple[str, str]):
     """The columns of the input, its text masked, then the counts; the last two input columns are the document's terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +188,7 @@ def _masking(names: list[str], text_at: int):
                 n.append(x[1])
                 m.append(x[2])
             cols = [pa.array(new, pa.string()) if i == text_at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int32()), pa.array(m, pa.int32())], [*names, "n_mentions_", "n_terms_"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int32()), pa.array(m, pa.int32())], [*names, *counts])
 
     return run
 
@@ -200,18 +200,18 @@ def sanitise(docs: DataFrame, remove_at: float = 0.999, id_col: str = "doc_id",
     only their mentions masked). Columns keep their names; the counts are
     called ``n_mentions`` and ``n_terms``, with underscores added if taken.
     """
+    doc, terms, gone = (fresh(docs, x) for x in ("doc_", "terms_", "gone_"))
+    counts = fresh(docs, "n_mentions"), fresh(docs, "n_terms")
     told = cut(
         disclosures(docs, id_col=id_col, text_col=text_col, **options).groupBy("doc", "term").agg(F.max("disclosure").alias("disclosure"))
-    ).groupBy(F.col("doc").alias("doc_")).agg(F.collect_list("term").alias("terms_"), F.collect_list(F.col("disclosure") >= remove_at).alias("gone_"))
+    ).groupBy(F.col("doc").alias(doc)).agg(F.collect_list("term").alias(terms), F.collect_list(F.col("disclosure") >= remove_at).alias(gone))
     text = F.col(text_col).cast("string")
     may = F.coalesce(text.rlike(MAY_HOLD), F.lit(False))
     names = docs.columns
     # only texts that may hold a mention are joined and masked; all others pass as they are
     rows = docs.where(may).withColumn(text_col, text)
-    rows = rows.join(told, rows[id_col].cast("long") == told["doc_"], "left").select(*(rows[c] for c in names), "terms_", "gone_")
+    rows = rows.join(told, rows[id_col].cast("long") == told[doc], "left").select(*(rows[c] for c in names), terms, gone)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(names)])
-    masked = rows.mapInArrow(_masking(names, names.index(text_col)), f"{schema}, n_mentions_ int, n_terms_ int")
-    plain = docs.where(~may).withColumn(text_col, text).withColumns({"n_mentions_": F.lit(0), "n_terms_": F.lit(0)})
-    both = plain.union(masked)
-    a = fresh(docs, "n_mentions")
-    return both.withColumnsRenamed({"n_mentions_": a, "n_terms_": fresh(docs, "n_terms")})
+    masked = rows.mapInArrow(_masking(names, names.index(text_col), counts), f"{schema}, {counts[0]} int, {counts[1]} int")
+    plain = docs.where(~may).withColumn(text_col, text).withColumns({c: F.lit(0) for c in counts})
+    return plain.union(masked)

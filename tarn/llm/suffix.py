@@ -253,7 +253,7 @@ def _matching(k: int, length: int, rows_at_once: int = 4000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks: tuple[list, list, list, list] = ([], [], [], [])
         held: list[tuple] = []  # (group, words, doc, at, before, several)
-        here: dict[str, list] = {}  # words -> [doc, at, before, size, several] in the group that passes
+        here: dict[str, list] = {}  # words -> [doc, at, before, size, several, in several documents] in the group that passes
         last, groups = None, 0
 
         def mark(doc: int, lo: int, hi: int, other: int) -> None:
@@ -291,11 +291,11 @@ def _matching(k: int, length: int, rows_at_once: int = 4000):
                         yield settle()
                 first = here.get(words)
                 if first is None:
-                    here[words] = [doc, at, before, size, False]
+                    here[words] = [doc, at, before, size, False, False]
                     continue
                 mark(doc, at - before, at - before + size, first[0])
-                if not first[4]:
-                    first[4] = True
+                if not first[4] or not first[5] and doc != first[0]:
+                    first[4], first[5] = True, doc != first[0]
                     mark(first[0], first[1] - first[2], first[1] - first[2] + first[3], doc)
         close()
         yield settle()
@@ -309,7 +309,8 @@ def repeated_passages(docs: DataFrame, length: int = 50, k: int = 20, id_col: st
     Positions count words (runs of letters and digits, without case) from 0,
     and ``end_word`` is exclusive. ``other_ids`` lists documents, sorted, that
     share part of the passage: for each anchor in it, the neighbours in suffix
-    order; the document itself is among them if it repeats itself.
+    order, where one stands for those whose surroundings are the same; the
+    document itself is among them if it repeats itself.
 
     Rows that share an id are one document, whose text is the one that sorts
     first. Rows without an id or text, and texts of fewer than ``length``

@@ -1,0 +1,204 @@
+"""Operators that SQL cannot express, against brute force, a public tokenizer or held-out labels."""
+
+import math
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tarn.llm import bpe, licenses, minhash, nbsvm, pii, suffix, topk
+from tarn.llm.common import table
+from tarn.llm.textvec import word_ids
+
+
+def words(text):
+    return "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
+
+
+def roots(pairs):
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return {x: find(x) for x in list(up)}
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf):
+    return {r["doc_id"]: r["text"] for r in table(spark, sf, "documents").collect()}
+
+
+def test_near_duplicates(spark, sf, texts):
+    sets = {}
+    for d, t in texts.items():
+        w = words(t)
+        if w:
+            sets[d] = {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
+    ids = sorted(sets)
+    pairs = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for i, a in enumerate(ids) for b in ids[i + 1 :]}
+    want = roots(p for p, j in pairs.items() if j >= 0.5)
+    got = {r["doc_id"]: r["keep_id"] for r in minhash.near_duplicates(table(spark, sf, "documents")).collect()}
+    missed = [d for d, r in want.items() if d != r and d not in got]
+    assert len(missed) <= 0.1 * sum(d != r for d, r in want.items())
+    assert all(want[d] == want[r] for d, r in got.items())
+    sure = [b for (a, b), j in pairs.items() if j >= 0.8]
+    assert set(sure) <= set(got) | set(got.values())
+
+
+def test_sketch_fills_and_estimates():
+    rng = np.random.default_rng(1)
+    ids = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    both = np.concatenate([ids[:200], ids[100:]])
+    s = minhash.sketch(both, np.array([200, 200]), 512)
+    assert (s != np.iinfo(np.uint64).max).all()
+    assert abs((s[0] == s[1]).mean() - 1 / 3) < 0.1
+    assert (minhash.sketch(ids[:1], np.array([1]), 64) != np.iinfo(np.uint64).max).all()
+
+
+def test_repeated_passages(spark, sf, texts):
+    n = 50
+    places = defaultdict(list)
+    for d, t in texts.items():
+        w = words(t)
+        for i in range(len(w) - n + 1):
+            places[tuple(w[i : i + n])].append((d, i))
+    marked = defaultdict(set)
+    for at in places.values():
+        if len(at) > 1:
+            for d, i in at:
+                marked[d].update(range(i, i + n))
+    want = set()
+    for d, at in marked.items():
+        for i in at:
+            if i - 1 not in at:
+                j = i
+                while j in at:
+                    j += 1
+                want.add((d, i, j))
+    got = suffix.repeated_passages(table(spark, sf, "documents")).collect()
+    assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in got} == want
+    assert all(r["other_ids"] and r["n_words"] >= n for r in got)
+
+
+def test_bpe_matches_a_public_tokenizer(texts):
+    import tiktoken
+    import public_tokenizers
+
+    ranks = bpe.load_ranks()
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    split, pieces = bpe.splitter(), bpe.Pieces(ranks, bpe.sufficient_lookahead(ranks))
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for t, i in ranks.items():
+        tokens[i] = t
+    odd = ["", " ", "  a  \n\n b", "I'll they've éè 你好 \U0001f600 x² 1½ _a_ --", "a" * 10000, "ab" * 7000, " " * 5000 + "x"]
+    for text in [*texts.values(), *odd]:
+        ids = bpe.encode(text, split, pieces)
+        assert ids.tolist() == theirs.encode_ordinary(text)
+        assert bpe.decode(ids, tokens, 3) == text
+
+
+def test_transducer_is_steady_however_it_is_fed():
+    ranks = bpe.load_ranks()
+    ahead = bpe.sufficient_lookahead(ranks)
+    raw = np.random.default_rng(3).choice(list(b"etaoin shrdlu"), 9000).astype(np.uint8).tobytes()
+    want = [ranks[t] for t in bpe.merge_long(raw, ranks)]
+    for step in (1, 7, 64):
+        t = bpe.Transducer(ranks, ahead, step)
+        got = []
+        for at in range(0, len(raw), 501):
+            got += t.feed(raw[at : at + 501])
+            assert len(t.held) <= 2 * (ahead + step) + max(map(len, ranks))
+        assert [*got, *t.finish()] == want
+
+
+def test_disclosures(spark):
+    rows = [(i, f"the quick plain words here number {i} again and so on") for i in range(40)]
+    rows += [(100 + i, f"our chief Zorblax writes from the office zorb{i}@mail.example.com today") for i in range(3)]
+    rows += [(200 + i, "please ask Quentil via quentil@mail.example.com today") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    df, entity, near = Counter(), defaultdict(set), defaultdict(set)
+    for d, t in rows:
+        df.update(set(words(t)))
+        for value, terms in pii._near(t, 5):
+            entity[value].add(d)
+            for w in terms:
+                near[value, w].add(d)
+    want = set()
+    for (value, w), ds in near.items():
+        if len(ds) >= 2:
+            n, e = len(rows), len(entity[value])
+            if math.log2(len(ds) * n / (e * df[w])) / math.log2(n / e) >= 0.9:
+                want |= {(d, int(word_ids([w]).view(np.int64)[0])) for d in entity[value]}
+    got = {(r["doc"], r["term"]) for r in pii.disclosures(docs).collect()}
+    assert want and got == want
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert all(clean[d] == t for d, t in rows if d < 100)
+    assert all("@" not in clean[d] and "uentil" not in clean[d] for d in range(200, 204))
+
+
+def test_mentions_are_masked():
+    for text, want in {
+        "mail a.b@c.example.org now": "mail [EMAIL] now", "host 10.1.2.3 up": "host [IP] up", "ssn 123-45-6789.": "ssn [SSN].",
+        "call +1 555-123-4567 ok": "call [PHONE] ok", "card 4111 1111 1111 1111 ok": "card [CARD] ok", "version 1.2.3 of 2020-01-02": "version 1.2.3 of 2020-01-02",
+    }.items():
+        assert pii.mask(text, {})[0] == want
+
+
+def test_classifier_on_held_out_labels(spark, sf):
+    folder = sf.replace("sf0.001", "sf0.01")
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = nbsvm.fit(docs, labels.where("doc_id % 3 <> 0"))
+    held = labels.where("doc_id % 3 = 0").join(nbsvm.classify(docs, model), "doc_id").collect()
+    right = sum(r["keep"] == (r["quality"] == 1 and r["toxic"] == 0) for r in held)
+    assert right >= 0.85 * len(held) and len(held) > 80
+
+
+def test_licences(spark):
+    t = licenses.TEMPLATES
+    rows = [(i, f"Some prose first.\n\n{x}\n\nSome prose after.") for i, x in enumerate(t[k][0] for k in t)] + [(99, "The licence fee was not paid by anyone in town.")]
+    got = {r["doc_id"]: (r["licence"], r["exact"]) for r in licenses.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (k, True) for i, k in enumerate(t)}
+
+
+def test_top_k_in_several_shards(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8))
+    x[200:220] = x[:20]  # ties
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    score = np.round(u @ u.T, 6)
+    np.fill_diagonal(score, -9)
+    got = defaultdict(list)
+    for r in topk.all_top_k(docs, 5, shard_rows=60).orderBy("vec_id", "rank").collect():
+        got[r["vec_id"]].append(r["score"])
+    for i in range(300):
+        assert np.allclose(got[i], np.sort(score[i])[::-1][:5], atol=2e-6)
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline
+    import tiktoken
+    import public_tokenizers
+
+    docs = table(spark, sf, "documents")
+    model = nbsvm.fit(docs, table(spark, sf, "labels"))
+    good = [r["doc_id"] for r in nbsvm.classify(docs, model).where("keep").collect()]
+    kept = docs.where(F.col("doc_id").isin(good))
+    gone = [r["doc_id"] for r in minhash.near_duplicates(kept).collect()]
+    kept = corpus_pipeline.pii(spark, kept.where(~F.col("doc_id").isin(gone)), sf)
+    assert kept.columns == docs.columns and kept.count() == len(good) - len(gone)
+    mixed = corpus_pipeline.mixing(spark, kept, sf)
+    assert mixed.columns == docs.columns
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(), special_tokens={})
+    want = sorted((r["doc_id"], theirs.encode_ordinary(r["text"])) for r in mixed.collect())
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert sorted((r["doc_id"], r["tokens"]) for r in got) == want
+    assert all(r["round_trip"] for r in got)

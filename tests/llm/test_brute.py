@@ -1,6 +1,8 @@
 """Operators that SQL cannot express, against brute force, a public tokenizer or held-out labels."""
 
 import math
+import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -167,6 +169,25 @@ def test_licences(spark):
     assert got == {i: (k, True) for i, k in enumerate(t)}
 
 
+def wrapped(text, width=72, prefix=""):
+    return "\n".join(prefix + x for x in textwrap.wrap(text, width))
+
+
+def test_wrapped_notices_and_several_in_one_text(spark):
+    t = licenses.TEMPLATES
+    mit = "MIT License\n\nCopyright (c) 2024 A. Author\n\n" + "\n\n".join(wrapped(x) for x in re.split(r"(?<=\.) (?=THE SOFTWARE IS)|(?<=:) (?=The above)", t["MIT"][-1]))
+    gpl = "\n\n".join(wrapped(x, 60, "# ") for x in re.split(r"(?<=\.) (?=This program is dist|You should)", t["GPL-3.0"][-1]))
+    bsd = "Copyright (c) 2024, The Authors\nAll rights reserved.\n\n" + wrapped(t["BSD-3-Clause"][-1].replace("copyright holder nor", "owner nor"))
+    both = "Released under the MIT License.\nAll rights reserved."
+    dual = "Licensed under the MIT License. Licensed under the Apache License, Version 2.0."
+    rows = list(enumerate([mit, gpl, bsd, both, dual, wrapped(t["BSD-2-Clause"][-1]), wrapped(t["AGPL-3.0"][-1], 50, " * ")]))
+    got = defaultdict(list)
+    for r in sorted(licenses.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r["line"]):
+        got[r["doc_id"]].append(r["licence"])
+    want = [["MIT"], ["GPL-3.0"], ["All-Rights-Reserved", "BSD-3-Clause"], ["MIT", "All-Rights-Reserved"], ["MIT", "Apache-2.0"], ["BSD-2-Clause"], ["AGPL-3.0"]]
+    assert dict(got) == dict(enumerate(want))
+
+
 def test_top_k_in_several_shards(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 8))

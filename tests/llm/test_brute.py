@@ -188,6 +188,15 @@ def test_wrapped_notices_and_several_in_one_text(spark):
     assert dict(got) == dict(enumerate(want))
 
 
+def test_notices_in_running_prose(spark):
+    filler = [f"alpha{i % 31} beta{i % 17}" for i in range(2000)]
+    notices = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "CC-BY-4.0": "Licensed under CC BY 4.0.", "All-Rights-Reserved": "All rights reserved."}
+    rows = [(i, name, " ".join([*filler[:n], x, *filler[n : 2 * n]])) for i, (name, x, n) in enumerate((k, x, n) for k, x in notices.items() for n in (2, 8, 15, 100, 900))]
+    got = licenses.scan_licences(spark.createDataFrame(rows, "doc_id long, name string, text string")).collect()
+    assert sorted((r["doc_id"], r["licence"]) for r in got) == [(i, name) for i, name, _ in rows]
+    assert {(r["licence"], r["saved"]) for r in got} == {(r["licence"], r["saved"]) for r in got if r["doc_id"] % 5 == 0}
+
+
 def test_top_k_in_several_shards(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 8))

@@ -3,9 +3,9 @@
 Mentions of protected entities (e-mail and IP addresses, telephone, card,
 social security and account numbers, secrets) are found by pattern and masked.
 What else could give an entity away is estimated from the corpus, after Sanchez
-and Batet's C-sanitisation: a term within ``window`` words of a mention
-discloses the entity to the degree PMI(entity; term) / IC(entity), with
-document frequencies over the whole corpus. Terms at or above ``threshold``
+and Batet's C-sanitisation: a term of a document that mentions the entity
+discloses it to the degree PMI(entity; term) / IC(entity), with document
+frequencies over the whole corpus. Terms at or above ``threshold``
 are generalised in every document that mentions the entity, and those at or
 above ``remove_at`` are removed.
 
@@ -52,36 +52,41 @@ def entity_ids(values: list[str]) -> np.ndarray:
     return word_ids([v.encode().hex() for v in values]).view(np.int64)
 
 
-def _near(text: str, window: int) -> list[tuple[str, list[str]]]:
-    """(value, lower-cased words within ``window`` of the mention) of each mention."""
+def _near(text: str, window: int | None) -> list[tuple[str, list[str]]]:
+    """(value, lower-cased words within ``window`` of the mention) of each mention; words of other mentions
+    are passed over. Without a window, all words of the text are near."""
     found = mentions(text)
-    out = []
-    for i, (a, b, _, value) in enumerate(found):
-        lo = max(a - 64 * window, found[i - 1][1] if i else 0)
-        hi = min(b + 64 * window, found[i + 1][0] if i + 1 < len(found) else len(text))
-        while lo > 0 and lo > (found[i - 1][1] if i else 0) and text[lo - 1].isalnum():
-            lo -= 1
-        while hi < len(text) and hi < (found[i + 1][0] if i + 1 < len(found) else len(text)) and text[hi].isalnum():
-            hi += 1
-        out.append((value, [w.lower() for w in WORD.findall(text[lo:a])[-window:] + WORD.findall(text[b:hi])[:window]]))
-    return out
+    words, before, at = [], [], 0
+    for a, b, _, _ in found:
+        words += WORD.findall(text[at:a])
+        before.append(len(words))
+        at = b
+    words = [w.lower() for w in [*words, *WORD.findall(text[at:])]]
+    if window is None:
+        return [(value, words) for *_, value in found]
+    return [(value, words[max(0, n - window) : n + window]) for (*_, value), n in zip(found, before)]
+
 
+def _mentioning(window: int | None):
+    """(doc, entities, terms) of each mention, or of each text if there is no window."""
 
-def _mentioning(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, value, terms, counts = [], [], [], []
+            doc, values, n_values, terms, n_terms = [], [], [], [], []
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for v, near in _near(text, window):
-                    doc.append(d)
-                    value.append(v)
+                near = _near(text, window)
+                groups = [([v], w) for v, w in near] if window is not None else [(list(dict.fromkeys(v for v, _ in near)), near[0][1])] if near else []
+                for entities, words in groups:
                     # a lower-cased word may hold combining marks; its parts are the words that Words would give
-                    parts = [x for w in near for x in WORD.findall(w)]
+                    parts = list(dict.fromkeys(x for w in words for x in WORD.findall(w)))
+                    doc.append(d)
+                    values += entities
+                    n_values.append(len(entities))
                     terms += parts
-                    counts.append(len(parts))
+                    n_terms.append(len(parts))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(entity_ids(value)), list_array(pa.array(word_ids(terms).view(np.int64)), counts)],
-                ["doc", "entity", "terms"],
+                [pa.array(doc, pa.int64()), list_array(pa.array(entity_ids(values)), n_values), list_array(pa.array(word_ids(terms).view(np.int64)), n_terms)],
+                ["doc", "entities", "terms"],
             )
 
     return run
@@ -118,32 +123,38 @@ def bitmap(ids: DataFrame, bits: int = 1 << 23) -> np.ndarray:
 
 
 def disclosures(
-    docs: DataFrame, window: int = 5, min_docs: int = 2, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, window: int | None = None, min_docs: int = 2, threshold: float = 0.9, chance: float = 0.05, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc, entity, term, disclosure) of the terms that disclose an entity that ``doc`` mentions.
 
     Frequencies are of rows with an id and a text; rows that share an id count
-    once for an entity and a term. Pairs seen together in fewer than ``min_docs``
-    documents are no evidence.
+    once for an entity and a term. Pairs are those of a document, or within
+    ``window`` words if given. Pairs seen together in fewer than ``min_docs``
+    documents are evidence where they would seldom meet by accident: in at most
+    ``chance`` documents by their frequencies. So a term and an entity of one
+    document each count in any corpus of ``1 / chance`` documents or more.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
-    found = cut(rows.where(F.col("text").rlike(MAY_HOLD)).mapInArrow(_mentioning(window), "doc long, entity long, terms array<bigint>"))
-    together = (
-        found.select("doc", "entity", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("co")).where(F.col("co") >= min_docs)
-    )
-    together = cut(together)
-    bits = bitmap(together.select("term"))
+    found = cut(rows.where(F.col("text").rlike(MAY_HOLD)).mapInArrow(_mentioning(window), "doc long, entities array<bigint>, terms array<bigint>"))
+    mentioned = found.select("doc", F.explode("entities").alias("entity")).distinct()
+    of_entity = cut(mentioned.groupBy("entity").agg(F.count("*").alias("df_entity")))
+    bits = bitmap(found.select(F.explode("terms").alias("term")))
+    total = rows.agg(F.count("*").alias("docs")).crossJoin(of_entity.agg(F.max("df_entity").alias("most")))
     of_term = rows.select("text").mapInArrow(_frequencies(bits), "term long, n long").groupBy("term").agg(F.sum("n").alias("df_term"))
-    of_entity = found.select("doc", "entity").distinct().groupBy("entity").agg(F.count("*").alias("df_entity"))
-    total = rows.agg(F.count("*").alias("docs"))
-    ic = F.log2(F.col("docs") / F.col("df_entity"))
+    # co <= df_entity, so no commoner term reaches the threshold with any entity
+    rare = of_term.crossJoin(F.broadcast(total)).where(F.col("df_term") <= 1.000001 * F.pow(F.col("docs"), F.lit(1 - threshold)) * F.pow(F.col("most"), F.lit(threshold)))
+    pairs = found.select("doc", "entities", F.explode("terms").alias("term")).join(rare.select("term", "df_term", "docs"), "term")
+    pairs = pairs.select("doc", F.explode("entities").alias("entity"), "term", "df_term", "docs").distinct()
+    together = pairs.groupBy("entity", "term", "df_term", "docs").agg(F.count("*").alias("co")).join(of_entity, "entity")
+    by_chance = F.greatest("df_term", "co") * F.col("df_entity") / F.col("docs")
+    ic = F.nullif(F.log2(F.col("docs") / F.col("df_entity")), F.lit(0.0))
     pmi = F.log2(F.col("co") * F.col("docs") / (F.col("df_entity") * F.greatest("df_term", "co")))
     told = (
-        together.join(of_term, "term").join(of_entity, "entity").crossJoin(total)
+        together.where((F.col("co") >= min_docs) | (by_chance <= chance))
         .select("entity", "term", (pmi / ic).alias("disclosure"))
         .where((F.col("disclosure") >= threshold))
     )
-    return found.select("doc", "entity").distinct().join(told, "entity")
+    return mentioned.join(told, "entity")
 
 
 def mask(text: str, terms: dict[str, bool]) -> tuple[str, int, int]:

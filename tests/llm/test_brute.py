@@ -145,6 +145,24 @@ def test_disclosures(spark):
     assert all("@" not in clean[d] and "uentil" not in clean[d] for d in range(200, 204))
 
 
+def test_disclosures_of_entities_in_one_document(spark):
+    rows = [(i, f"the quick plain words here number {i % 9} again and so on") for i in range(60)]
+    rows += [(100, "Zorblax, +1 (555) 123-4567, z@x.com"), (101, "Quentil the quick plain words here again and so on and on q@x.com")]
+    df = Counter(w for _, t in rows for w in set(words(" ".join(pii.WORD.findall(pii.mask(t, {})[0])))))
+    want = set()
+    for d, t in rows:
+        for value, terms in pii._near(t, None):
+            for w in set(terms):
+                if math.log2(len(rows) / df[w]) / math.log2(len(rows)) >= 0.9:
+                    want.add((d, int(pii.entity_ids([value])[0]), int(word_ids([w]).view(np.int64)[0])))
+    got = {(r["doc"], r["entity"], r["term"]) for r in pii.disclosures(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(want) == 3
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[100] == ", [PHONE], [EMAIL]" and clean[101] == " the quick plain words here again and so on and on [EMAIL]"
+    assert all(clean[d] == t for d, t in rows if d < 100)
+    assert [w for _, w in pii._near(rows[60][1], 5)] == [["zorblax"], ["zorblax"]]
+
+
 def test_mentions_are_masked():
     for text, want in {
         "mail a.b@c.example.org now": "mail [EMAIL] now", "host 10.1.2.3 up": "host [IP] up", "ssn 123-45-6789.": "ssn [SSN].",

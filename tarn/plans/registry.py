@@ -265,6 +265,12 @@ def cosine_pairs(spark, d):
     return rank.near_duplicate_pairs(v, -2.0)
 
 
+@query()
+def cosine_pairs_all(spark, d):
+    """Every pair of the table; ``tests/test_rank.py`` holds it against brute force."""
+    return rank.near_duplicate_pairs(I.vectors(spark, d), -2.0)
+
+
 @query(f"SELECT * FROM ({S_PAIRS}) WHERE score >= 0.9")
 def near_dup_pairs(spark, d):
     return rank.near_duplicate_pairs(I.vectors(spark, d), 0.9)

@@ -12,3 +12,17 @@ def test_fusion_of_two_lists(spark):
     lists = [spark.createDataFrame(x, "id string, score double") for x in ([("x", 2.0), ("y", 1.0)], [("y", 2.0), ("z", 1.0)])]
     found = {r["id"]: r["score"] for r in rank.fuse(lists).collect()}
     assert {k: round(v, 6) for k, v in found.items()} == {"x": round(1 / 61, 6), "y": round(1 / 62 + 1 / 61, 6), "z": round(1 / 62, 6)}
+
+
+def test_all_pairs_of_the_table(spark, sf):
+    import numpy as np
+
+    from tarn.plans import registry
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    x = np.array([r["embedding"] for r in rows], dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, score = [str(r["vec_id"]) for r in rows], x @ x.T
+    want = {(min(a, b), max(a, b)): score[i, j] for i, a in enumerate(ids) for j, b in enumerate(ids[:i])}
+    got = {(r["a"], r["b"]): r["score"] for r in registry.QUERIES["cosine_pairs_all"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1.1e-5 for k in want)

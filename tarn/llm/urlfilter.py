@@ -21,6 +21,8 @@ CANONICAL = (
     "(?i)<link[^>]*href=[\"']([^\"']+)[\"'][^>]*rel=[\"']?canonical",
 )
 REFRESH = "(?i)<meta[^>]*http-equiv=[\"']?refresh[\"']?[^>]*url=[\"']?([^\"'> ]+)"
+#: The SQL has the two above; pages are read tag by tag.
+TAG = "(?i)<(?:link|meta)\\b[^>]*>"
 
 
 def address(url: Column) -> Column:
@@ -41,10 +43,24 @@ def _absolute(target: Column, url: Column) -> Column:
     return F.when(target.startswith("//"), F.concat(scheme, target)).when(target.startswith("/"), F.concat(origin, target)).when(target != "", target)
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of a tag's attribute, quoted or not; empty if there is none."""
+    pattern = f"(?i)[\\s\"'/]{name}\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s\"'>]+))"
+    return F.trim(F.concat(*(F.regexp_extract(tag, pattern, i) for i in (1, 2, 3))))
+
+
+def _target(tag: Column) -> Column:
+    """What a tag ties its page to, if it is a canonical link or a refresh; attributes may stand in any order."""
+    to = F.regexp_extract(_attribute(tag, "content"), "(?i)url\\s*=\\s*[\"']?([^\"'> ]+)", 1)
+    link = tag.rlike("(?i)^<link") & _attribute(tag, "rel").rlike("(?i)(?:^|\\s)canonical(?:\\s|$)")
+    meta = tag.rlike("(?i)^<meta") & (F.lower(_attribute(tag, "http-equiv")) == "refresh")
+    return F.when(link, _attribute(tag, "href")).when(meta, to)
+
+
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): nodes that a page's canonical link or refresh ties together."""
+    """(a, b): nodes that a page's canonical links and refreshes, all of them, tie together."""
     url, html = F.col(url_col).cast("string"), F.col(html_col).cast("string")
-    targets = F.array(*(_absolute(F.regexp_extract(html, p, 1), url) for p in (*CANONICAL, REFRESH)))
+    targets = F.transform(F.regexp_extract_all(html, F.lit(TAG), F.lit(0)), lambda tag: _absolute(_target(tag), url))
     some = html.contains("canonical") | html.contains("CANONICAL") | F.lower(html).contains("refresh") | F.lower(html).contains("canonical")
     return (
         pages.where(some).select(address(url).alias("a"), F.explode(targets).alias("t")).select("a", address(F.col("t")).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()

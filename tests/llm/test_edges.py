@@ -96,6 +96,17 @@ def test_urls(spark):
     assert urlfilter.decide(pages.limit(0)).count() == 0
 
 
+def test_links_in_any_spelling(spark):
+    heads = [
+        "<meta content='0; URL=https://b.example.com/1' http-equiv=refresh>", "<LINK HREF=https://b.example.com/2 REL=canonical>", "<link rel=canonical href=https://b.example.com/3>",
+        '<link rel="canonical" href="https://b.example.com/4"><link rel="canonical" href="https://b.example.com/5">', "<meta http-equiv=\"refresh\" content=\"0;url='/6'\">", '<link rel="next" href="https://b.example.com/7"><p>canonical',
+    ]
+    pages = spark.createDataFrame([(i, f"https://a.example.com/p{i}", h) for i, h in enumerate(heads)], "page_id long, url string, html string")
+    got = {tuple(r) for r in urlfilter.link_edges(pages).collect()}
+    want = [(0, "b.example.com/1"), (1, "b.example.com/2"), (2, "b.example.com/3"), (3, "b.example.com/4"), (3, "b.example.com/5"), (4, "a.example.com/6")]
+    assert got == {(f"a.example.com/p{i}", b) for i, b in want}
+
+
 def test_top_k(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (None, [1.0, 0.0]), (5, [0.0, 0.0]), (6, [1.0]), (7, [float("nan"), 1.0]), (8, [None, 1.0])]
     vectors = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, id string")

@@ -6,7 +6,7 @@ import os
 import tempfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -71,7 +71,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star rounds (Kiveris et al., 2014): the
     edge list never grows, each round is two shuffles of it, and long chains
     halve. ``root`` is the least node of the component. Self-loops and null
-    ends are ignored. Lineage is cut at a checkpoint each round.
+    ends are ignored. Lineage is cut at a checkpoint each round. A hub's least
+    neighbour is found by an aggregation, combined before the shuffle, and
+    joined back, so that a hub's edges need not pass through one task.
     """
     e = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
@@ -80,12 +82,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = F.least("u", F.min("v").over(Window.partitionBy("u")))
-        large = (
-            both.withColumn("m", low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
-        low = F.min("v").over(Window.partitionBy("u"))
-        small = large.withColumn("m", low)
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         e = cut(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(small.select("u", F.col("m").alias("v")))

@@ -12,7 +12,9 @@ document is compared with the least one; then, where a bucket still holds
 documents of several groups, all pairs across those groups are compared. That
 gives the same groups as comparing all pairs of every bucket, and copies by
 the thousand cost one comparison each. Comparison is the exact Jaccard
-similarity of the sets of ``k``-word shingles.
+similarity of the sets of ``k``-word shingles. What a bucket or group has in
+common is found by an aggregation, combined before the shuffle, and joined
+back: a hot one is never a single task's to hold.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.common import connected_components, cut, list_array
@@ -31,15 +33,18 @@ GOLDEN = 0x9E3779B97F4A7C15
 
 
 def sketch(ids: np.ndarray, counts: np.ndarray, t: int) -> np.ndarray:
-    """Sketches (texts x t) of texts given their shingle ids; rows of texts without shingles are all ones."""
-    docs = len(counts)
+    """Sketches (texts x t) of texts given their shingle ids; rows of texts without shingles are all ones.
+
+    The number of the round takes as many of a value's high bits as ``2 t`` has.
+    """
+    docs, low = len(counts), 64 - (2 * t).bit_length()
     bins = np.full(docs * t, np.iinfo(np.uint64).max, dtype=np.uint64)
     doc = np.repeat(np.arange(docs), counts)
     empty = np.iinfo(np.uint64).max
     for i in range(2 * t):
         h = mix(ids + np.uint64((i + 1) * GOLDEN % (1 << 64)))
         where = (h % np.uint64(t)).astype(np.int64) if i < t else i - t
-        value = np.uint64(i << 55) | (mix(h) >> np.uint64(9))
+        value = np.uint64(i << low) | (mix(h) >> np.uint64(64 - low))
         np.minimum.at(bins, doc * t + where, value)
         open_ = (bins.reshape(docs, t) == empty).any(axis=1)
         open_ &= counts > 0
@@ -138,38 +143,40 @@ def near_duplicates(
     sorts first. Rows without an id, and null or wordless texts, are in no group. A text of fewer than ``k`` words
     has one shingle, of all its words. Ties go to the least id. An empty table
     gives an empty result; columns other than the two named are not looked at.
+    Texts are taken whole, about a million characters at a time; a longer one
+    is a batch of its own, at some 60 bytes a character.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where(
         "doc IS NOT NULL AND text IS NOT NULL"
     )
-    keys = texts.mapInArrow(_banding(k, bands, rows), "key long, doc long")
-    bucket = Window.partitionBy("key")
-    shared = cut(
-        keys.select("key", "doc", F.min("doc").over(bucket).alias("a"), F.max("doc").over(bucket).alias("z")).where("a < z").select("key", "doc", "a")
-    )
+    keys = cut(texts.mapInArrow(_banding(k, bands, rows), "key long, doc long"))
+    several = keys.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("key", "a")
+    shared = cut(keys.join(several, "key").select("key", "doc", "a"))
     wanted = shared.select("doc").distinct()
     held = cut(texts.join(wanted, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text")))
     first = shared.where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
     edges = cut(verify(first, held, k, threshold))
     comps = connected_components(edges.select("a", "b"))
     rest = shared.join(comps.select(F.col("node").alias("doc"), "root"), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
-    rest = cut(
-        rest.select("key", "doc", "root", F.min("root").over(bucket).alias("lo"), F.max("root").over(bucket).alias("hi"))
-        .where("lo < hi")
-        .select("key", "doc", "root")
-    )
+    rest = cut(rest)
+    open_ = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    rest = cut(rest.join(open_, "key", "left_semi"))
     left, right = rest.select("key", F.col("doc").alias("a"), F.col("root").alias("ra")), rest.select("key", F.col("doc").alias("b"), F.col("root").alias("rb"))
     across = (
         left.join(right, "key").where("a < b AND ra <> rb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     )
     more = verify(across, held, k, threshold)
     comps = connected_components(edges.unionByName(more).select("a", "b"))
-    return comps.select(
-        F.col("node").alias("doc_id"), F.col("root").alias("keep_id"), F.count("*").over(Window.partitionBy("root")).alias("n_group")
-    ).where("doc_id <> keep_id")
+    sizes = comps.groupBy("root").agg(F.count("*").alias("n_group"))
+    return comps.where("node <> root").join(sizes, "root").select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"), "n_group")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that ``near_duplicates`` gives; rows without an id stay."""
+    """``docs`` without the documents that ``near_duplicates`` gives.
+
+    Rows without an id, null and wordless texts stay, and so do all rows that
+    share the id of a document kept; an empty table stays empty, and other
+    columns, clashing names included, are as they were.
+    """
     gone = near_duplicates(docs, id_col=id_col, **options).select(F.col("doc_id").alias("gone_"))
     return docs.join(gone, docs[id_col].cast("long") == gone["gone_"], "left_anti")

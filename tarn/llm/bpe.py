@@ -208,7 +208,7 @@ def _encoder(ranks: dict[bytes, int], lookahead: int) -> tuple[re.Pattern, Piece
 
 
 def encode(text: str, split: re.Pattern, pieces: Pieces) -> np.ndarray:
-    return np.frombuffer(b"".join(map(pieces.__getitem__, split.findall(text))), dtype=np.int32)
+    return np.frombuffer(b"".join(map(pieces.__getitem__, (m.group() for m in split.finditer(text)))), dtype=np.int32)
 
 
 def decode(ids: np.ndarray, tokens: list[bytes], step: int = 8192) -> str:
@@ -216,7 +216,7 @@ def decode(ids: np.ndarray, tokens: list[bytes], step: int = 8192) -> str:
     return "".join([*(d.feed(ids[at : at + step].tolist()) for at in range(0, len(ids), step)), d.finish()])
 
 
-def _encoding(ranks: dict[bytes, int], lookahead: int):
+def _encoding(ranks: dict[bytes, int], lookahead: int, check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, pieces = _encoder(ranks, lookahead)
         tokens = [b""] * (max(ranks.values(), default=-1) + 1)
@@ -231,21 +231,48 @@ def _encoding(ranks: dict[bytes, int], lookahead: int):
                 counts = np.array([len(x) for x in ids], dtype=np.int32)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)), mask=pa.array(null))
-                same = pa.array([None if t is None else decode(x, tokens) == t for t, x in zip(part, ids)], pa.bool_())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, len(part)), pa.array(counts, mask=null), lists, same], ["doc_id", "n_tokens", "tokens", "round_trip"]
-                )
+                columns = [batch.column(0).slice(a, len(part)), pa.array(counts, mask=null), lists]
+                if check:
+                    columns.append(pa.array([None if t is None else decode(x, tokens) == t for t, x in zip(part, ids)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "tokens", "round_trip"][: len(columns)])
 
     return run
 
 
-def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", check: bool = True) -> DataFrame:
     """(doc_id, n_tokens, tokens, round_trip) of every row, repeated rows and null ids included.
 
-    ``round_trip`` tells whether decoding gives back the text. A null text has
-    nulls, an empty one no tokens. Only the two columns named are read, and
-    nothing is shuffled; the vocabulary, of fixed size, goes with the task.
+    ``round_trip`` tells whether decoding gives back the text; without
+    ``check`` nothing is decoded and there is no such column. A null text has
+    nulls, an empty one no tokens, an empty table no rows; a text of any length
+    is read once from start to end, and memory is that of its tokens. Only the
+    two columns named are read, and nothing is shuffled; the vocabulary, of
+    fixed size, goes with the task.
     """
     ranks = load_ranks(vocabulary)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_encoding(ranks, sufficient_lookahead(ranks)), "doc_id long, n_tokens int, tokens array<int>, round_trip boolean")
+    schema = "doc_id long, n_tokens int, tokens array<int>" + (", round_trip boolean" if check else "")
+    return rows.mapInArrow(_encoding(ranks, sufficient_lookahead(ranks), check), schema)
+
+
+def _decoding(tokens: list[bytes]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(1)
+            texts = [None if not ids[i].is_valid else decode(ids[i].values.to_numpy(), tokens) for i in range(len(ids))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return run
+
+
+def decode_documents(encoded: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
+    """(doc_id, text) of every row of ids, by the incremental decoder; null ids give a null text, none an empty one.
+
+    Bytes that are no character, as where a list ends in the middle of one, become U+FFFD.
+    """
+    ranks = load_ranks(vocabulary)
+    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, i in ranks.items():
+        tokens[i] = token
+    rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(tokens_col).cast("array<int>").alias("tokens"))
+    return rows.mapInArrow(_decoding(tokens), "doc_id long, text string")

@@ -13,6 +13,7 @@ pair of labels; scoring covers every document and needs no shuffle.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +36,7 @@ class Model:
     keys: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
+    gaps: tuple[float, float] = (0.0, 0.0)  # duality gap of each head's fit, as a share of its primal value
 
     def table(self, bits: int = 22) -> np.ndarray:
         """Feature positions by the low bits of the id, in as many columns as the fullest slot needs; -1 if none."""
@@ -77,28 +79,37 @@ def score(texts: list, model: Model, table: np.ndarray) -> np.ndarray:
     return out
 
 
-def dual_descent(rows: list, values: list, y: np.ndarray, cost: np.ndarray, width: int, epochs: int = 20, tol: float = 1e-3):
-    """(weights, bias) of the L1-loss linear SVM; the bias is the weight of a constant feature."""
+def dual_descent(rows: list, values: list, y: np.ndarray, cost: np.ndarray, width: int, epochs: int = 500, tol: float = 1e-2):
+    """(weights, bias, relative duality gap) of the L1-loss linear SVM; the bias is the weight of a constant feature.
+
+    Epochs go on until the duality gap is at most ``tol`` of the primal value;
+    if ``epochs`` do not get there, a warning says so.
+    """
     w = np.zeros(width + 1)
     alpha = np.zeros(len(rows))
     rows = [np.append(r, width) for r in rows]
     values = [np.append(v, 1.0) for v in values]
     norm = np.array([v @ v for v in values])
     rng = np.random.default_rng(7)
-    for _ in range(epochs):
-        worst = 0.0
+    gap = 0.0
+    for epoch in range(epochs if len(rows) else 0):
         for i in rng.permutation(len(rows)):
             r, v = rows[i], values[i]
             g = y[i] * (w[r] @ v) - 1.0
             if (alpha[i] <= 0 and g >= 0) or (alpha[i] >= cost[i] and g <= 0):
                 continue
-            worst = max(worst, abs(g))
             new = min(max(alpha[i] - g / norm[i], 0.0), cost[i])
             w[r] += (new - alpha[i]) * y[i] * v
             alpha[i] = new
-        if worst < tol:
-            break
-    return w[:-1], w[-1]
+        if epoch < 8 or epoch % 4 == 0 or epoch == epochs - 1:
+            size = w @ w / 2
+            loss = sum(c * max(0.0, 1.0 - t * (w[r] @ v)) for r, v, t, c in zip(rows, values, y, cost))
+            gap = float((2 * size + loss - alpha.sum()) / (size + loss))
+            if gap <= tol:
+                break
+    if gap > tol:
+        warnings.warn(f"dual coordinate descent stopped after {epochs} epochs at a duality gap of {gap:.3f}", stacklevel=2)
+    return w[:-1], w[-1], gap
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +157,6 @@ def fit(
     per_class: int = 4000,
     min_df: int = 5,
     min_gain: float = 20.0,
-    max_features: int = 50_000,
     alpha: float = 1.0,
     cost: float = 1.0,
     id_col: str = "doc_id",
@@ -156,8 +166,10 @@ def fit(
 
     Labels with a null are not used; of several rows for a document the least
     is. Features in fewer than ``min_df`` sampled documents, or with a G
-    statistic under ``min_gain`` for a head, are not used for that head; at
-    most ``max_features`` are. A head without both classes scores 0.
+    statistic under ``min_gain`` for a head, are not used for that head; all
+    others are, and their number is bounded by the words of the sample. A head
+    without both classes scores 0. Null texts are not fitted on; an empty table
+    or no usable label gives a model that scores 0.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id_")).agg(
         F.min(F.struct("quality", "toxic")).alias("l")
@@ -179,14 +191,14 @@ def fit(
     gains = [_gain(F.col(h).cast("double"), (F.col("df") - F.col(h)).cast("double"), F.lit(float(p)), F.lit(float(n - p))).alias(f"g_{h}") for h, p in usable]
     best = counts.select("id", "df", *HEADS, *gains)
     top = F.greatest(*(F.col(f"g_{h}") for h, _ in usable)) if len(usable) > 1 else F.col(f"g_{usable[0][0]}")
-    chosen = best.where(top >= min_gain).orderBy(top.desc(), "id").limit(max_features).toPandas()
+    chosen = best.where(top >= min_gain).toPandas()
     if chosen.empty:
         return none
     keys = chosen["id"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     chosen, keys = chosen.iloc[order], keys[order]
     data = rows.mapInArrow(_selecting(keys), "at array<int>, quality int, toxic int").toPandas()
-    weights, bias = np.zeros((len(keys), 2)), np.zeros(2)
+    weights, bias, gaps = np.zeros((len(keys), 2)), np.zeros(2), [0.0, 0.0]
     for h, p in usable:
         hits = chosen[h].to_numpy(float)
         pos, neg = alpha + hits, alpha + chosen["df"].to_numpy(float) - hits
@@ -196,9 +208,9 @@ def fit(
         each = np.where(y > 0, cost * n / (2 * p), cost * n / (2 * (n - p)))
         at = [np.asarray(r, dtype=np.int64) for r in data["at"]]
         at = [r[ratio[r] != 0] for r in at]
-        w, b = dual_descent(at, [ratio[r] for r in at], y, each, len(keys))
+        w, b, gaps[HEADS.index(h)] = dual_descent(at, [ratio[r] for r in at], y, each, len(keys))
         weights[:, HEADS.index(h)], bias[HEADS.index(h)] = w * ratio, b
-    return Model(keys, weights, bias)
+    return Model(keys, weights, bias, tuple(gaps))
 
 
 def _judge(texts: list, model: Model, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,6 +237,8 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     ``keep`` holds if the quality score is at least 0 and the toxic score at
     most 0; null and blank texts are not kept. An empty table gives no rows.
+    Texts are scored whole, about a million characters at a time, a longer one
+    by itself.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_scoring(model), "doc_id long, quality_score double, toxic_score double, keep boolean")
@@ -240,5 +254,9 @@ def _filtering(model: Model, at: int):
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``classify`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``classify`` keeps, with all their columns, whatever their names.
+
+    Repeated rows and null ids are judged by their text as any other; null and
+    blank texts go; an empty table stays empty.
+    """
     return docs.mapInArrow(_filtering(model, docs.columns.index(text_col)), docs.schema)

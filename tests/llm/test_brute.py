@@ -224,11 +224,35 @@ def test_top_k_in_several_shards(spark):
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     score = np.round(u @ u.T, 6)
     np.fill_diagonal(score, -9)
-    got = defaultdict(list)
-    for r in topk.all_top_k(docs, 5, shard_rows=60).orderBy("vec_id", "rank").collect():
-        got[r["vec_id"]].append(r["score"])
-    for i in range(300):
-        assert np.allclose(got[i], np.sort(score[i])[::-1][:5], atol=2e-6)
+    for asking, blocks in (("vec_id % 3 = 0", 20), ("", 8192)):
+        got = defaultdict(list)
+        for r in topk.top_k(docs, 5, asking, shard_rows=60, block_queries=blocks).orderBy("vec_id", "rank").collect():
+            got[r["vec_id"]].append((r["neighbour_id"], r["score"]))
+        assert sorted(got) == [i for i in range(300) if not asking or i % 3 == 0]
+        for i, found in got.items():
+            want = np.lexsort((np.arange(300), -score[i]))[:5]
+            assert [x for x, _ in found] == want.tolist()
+            assert np.allclose([s for _, s in found], score[i, want], atol=2e-6)
+
+
+def test_the_threshold_ends_a_search():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4000, 6)) * [8, 4, 2, 1, 0.5, 0.2]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    shard, none = topk.Shard(x, np.arange(4000)), np.full(50, -np.inf)
+    score = np.round(x[:50] @ x.T, 6)
+    score[np.arange(50), np.arange(50)] = -9
+    r, ids, _ = shard.search(x[:50], np.arange(50), none, 10)
+    for i in range(50):
+        assert ids[r == i].tolist() == np.lexsort((np.arange(4000), -score[i]))[:10].tolist()
+    assert max(shard.depths) < 4000 and np.mean(shard.met) < 3500
+    kth = -np.sort(-score, axis=1)[:, 9]
+    r, ids, _ = shard.search(x[:50], np.arange(50), kth, 10)  # with the bound known beforehand, to the very depth where it stops
+    assert all(ids[r == i].tolist() == np.lexsort((np.arange(4000), -score[i]))[:10].tolist() for i in range(50))
+    assert (shard.threshold(x[:50], np.array(shard.depths)) < kth).all() and (shard.threshold(x[:50], np.array(shard.depths) - 1) >= kth - 2e-6).all()
+    # a bound that nothing can reach is settled without reading
+    shard.search(x[:50], np.arange(50), np.full(50, 9.0), 10)
+    assert not shard.depths
 
 
 def test_pipeline(spark, sf):

@@ -110,9 +110,9 @@ def test_links_in_any_spelling(spark):
 def test_top_k(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (None, [1.0, 0.0]), (5, [0.0, 0.0]), (6, [1.0]), (7, [float("nan"), 1.0]), (8, [None, 1.0])]
     vectors = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, id string")
-    got = sorted(tuple(r) for r in topk.all_top_k(vectors).collect())
+    got = sorted(tuple(r) for r in topk.top_k(vectors, asking="").collect())
     assert got == [(1, 1, 2, 1.0), (1, 2, 3, 0.0), (2, 1, 1, 1.0), (2, 2, 3, 0.0), (3, 1, 1, 0.0), (3, 2, 2, 0.0)]
-    assert topk.all_top_k(vectors.limit(0)).count() == 0
+    assert topk.top_k(vectors.limit(0)).count() == 0
 
 
 def test_stages(spark, docs, labels, tmp_path):

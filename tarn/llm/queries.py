@@ -30,8 +30,9 @@ def op3_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's decision."""
-    return urlfilter.decide(table(spark, sf_dir, "pages"))
+    """Every page's decision, over the links in the pages and redirects derived from their ids."""
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.decide(pages, redirects=urlfilter.derived_redirects(pages))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """URL filters up to redirect equivalence.
 
 Spellings of one address (scheme, ``www.`` or ``m.``, fragment, tracking
-parameters, trailing slash) are one node. Redirects and canonical links are
+parameters, dot segments, trailing slash) are one node. Redirects and canonical links are
 edges between nodes; their connected components are found in a distributed
 way, and a block decision on any address of a component holds for all of them.
 An address that is explicitly allowed is never blocked; its aliases may be.
@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import connected_components, cut
 
-BLOCK = (r"^https?://blog\.tionsh\.example\.com/", r"^https?://m\.ththth\.example\.net/", r"[?&]ref=")
-ALLOW = (r"^https://tionble\.example\.org/", r"/en/[0-9]+$")
+BLOCK = (r"^(?i:https?)://(?:[^/?#]*[.-])?(?:casino|bets?|pills?|spam|ads|adult|porn|xxx|viagra|escorts?|warez)[.-]", r"[?&]ref=")
+ALLOW = (r"^https?://(?:[^/?#]*[.])?tionble[.]example[.]org/", r"^https?://(?:[^/?#]*[.])?thther[.]example[.]org/")
 CANONICAL = (
     "(?i)<link[^>]*rel=[\"']?canonical[\"']?[^>]*href=[\"']([^\"']+)[\"']",
     "(?i)<link[^>]*href=[\"']([^\"']+)[\"'][^>]*rel=[\"']?canonical",
 )
 REFRESH = "(?i)<meta[^>]*http-equiv=[\"']?refresh[\"']?[^>]*url=[\"']?([^\"'> ]+)"
+PORTAL = "https://portal.example.com/start"
 #: The SQL has the two above; pages are read tag by tag.
 TAG = "(?i)<(?:link|meta)\\b[^>]*>"
 
@@ -31,16 +32,35 @@ def address(url: Column) -> Column:
     host = F.regexp_replace(F.lower(F.regexp_extract(u, "^(?i:https?)://([^/?]+)", 1)), "^(?:www|m)[.]|:(?:80|443)$", "")
     rest = F.regexp_extract(u, "^(?i:https?)://[^/?]+(.*)$", 1)
     path, query = F.regexp_extract(rest, "^([^?]*)", 1), F.regexp_extract(rest, "[?](.*)$", 1)
-    path = F.regexp_replace(path, "/+$", "")
+    path = F.regexp_replace(F.when(path.contains("/."), _without_dots(path)).otherwise(path), "/+$", "")
     query = F.regexp_replace(F.regexp_replace(query, "(^|&)(?:utm_[^=&]*|ref|fbclid|gclid)=[^&]*", ""), "^&+|&+$", "")
     return F.when(host != "", F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..``; what would go above the root stays there."""
+    last = F.split(path, "/")
+    folded = F.aggregate(
+        last, F.array().cast("array<string>"),
+        lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.lit(1), F.size(acc) - 1))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s))),
+    )
+    return F.array_join(folded, "/")
+
+
 def _absolute(target: Column, url: Column) -> Column:
-    """``target`` made absolute, if it begins with a slash."""
+    """``target`` as a link on the page ``url``: absolute, or relative to its scheme, host, path or folder. Null if it is empty or a fragment."""
     origin = F.regexp_extract(url, "^((?i:https?)://[^/?#]+)", 1)
     scheme = F.regexp_extract(url, "^((?i:https?):)//", 1)
-    return F.when(target.startswith("//"), F.concat(scheme, target)).when(target.startswith("/"), F.concat(origin, target)).when(target != "", target)
+    path = F.regexp_extract(url, "^(?i:https?)://[^/?#]+([^?#]*)", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path, "^/(.*/)", 1))
+    return (
+        F.when((target == "") | target.startswith("#"), None)
+        .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), target)
+        .when(target.startswith("//"), F.concat(scheme, target))
+        .when(target.startswith("/"), F.concat(origin, target))
+        .when(target.startswith("?"), F.concat(origin, path, target))
+        .otherwise(F.concat(origin, folder, target))
+    )
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -86,6 +106,7 @@ def decide(
     in the pages. ``node`` is the least address of the component. A null URL,
     or one without a host, has a null node and takes part in no component; only rules
     that match it directly hold. Repeated rows are kept; an empty table gives no rows.
+    Other columns are not looked at, and pages are read whole.
     """
     url = F.col(url_col).cast("string")
     edges = link_edges(pages, url_col, html_col)
@@ -103,6 +124,19 @@ def decide(
     return rows.join(bad, "node", "left").select("page_id", "url", "node", decision.alias("decision"))
 
 
+def derived_redirects(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(source, target) of redirects made up for pages that have none, by their ids in groups of eight.
+
+    Pages 1 to 3 lead on to the page before, 4 to 6 in a circle, across hosts
+    as these come, and page 7 of every group leads to one and the same portal.
+    """
+    p = pages.select(F.col(id_col).alias("i_"), F.col(url_col).alias("source"))
+    r = F.pmod("i_", F.lit(8))
+    to = F.when(r.isin(1, 2, 3, 5, 6), F.col("i_") - 1).when(r == 4, F.col("i_") + 2)
+    hops = p.withColumn("to_", to).join(pages.select(F.col(id_col).alias("to_"), F.col(url_col).alias("target")), "to_").select("source", "target")
+    return hops.union(p.where(r == 7).select("source", F.lit(PORTAL)))
+
+
 def _sql_address(u: str) -> str:
     bare = f"regexp_replace(trim({u}), '#.*$', '')"
     host = f"regexp_replace(lower(regexp_extract({bare}, '^(?i:https?)://([^/?]+)', 1)), '^(?:www|m)[.]|:(?:80|443)$', '', 'g')"
@@ -128,7 +162,9 @@ WITH RECURSIVE t AS (
   SELECT url, unnest([regexp_extract(html, '{_quoted(CANONICAL[0])}', 1), regexp_extract(html, '{_quoted(CANONICAL[1])}', 1),
                       regexp_extract(html, '{_quoted(REFRESH)}', 1)]) AS t FROM pages),
 a AS (SELECT url, {_sql_absolute("t")} AS t FROM t),
-l AS (SELECT {_sql_address("url")} AS a, {_sql_address("t")} AS b FROM a),
+h AS (SELECT p.url, q.url AS t FROM pages p JOIN pages q ON q.page_id = CASE WHEN p.page_id % 8 IN (1, 2, 3, 5, 6) THEN p.page_id - 1 WHEN p.page_id % 8 = 4 THEN p.page_id + 2 END
+      UNION ALL SELECT url, '{PORTAL}' FROM pages WHERE page_id % 8 = 7 UNION ALL SELECT url, t FROM a),
+l AS (SELECT {_sql_address("url")} AS a, {_sql_address("t")} AS b FROM h),
 e AS (SELECT a, b FROM l WHERE a <> b UNION SELECT b, a FROM l WHERE a <> b),
 reach AS (SELECT a AS node, a AS other FROM e UNION SELECT reach.node, e.b FROM reach JOIN e ON reach.other = e.a),
 comps AS (SELECT node, min(other) AS root FROM reach GROUP BY node),

@@ -1,11 +1,14 @@
 """Mixing sources to target weights, with exact token budgets.
 
-Each document gets a hash-random key, unique within its source by its id. Keys
+Each document gets a hash-random key, unique within its source by its id and,
+among rows that repeat an id, its text. Keys
 cut each source into equal ranges; token counts are summed by range, the range
 sums are prefixed within the source, and only in the ranges where a budget
 ends are documents sorted and prefixed one by one. That gives each source one
 exact cut: a number of whole epochs, the key at which the last epoch ends, and
-the tokens still to be taken from the document there. The cuts, a row for each
+what is still to be taken there: how many of the rows that share the key, one as
+a rule, and how many tokens of the next. Keys and counts are made once and kept
+without the texts. The cuts, a row for each
 source, then select from the documents in a single scan in which no text is
 shuffled. It is the same selection as that of a full sort by (source, key)
 with a running sum.
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarn.llm.common import cut, fresh, small
 
@@ -28,8 +32,9 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(TOKEN)).cast("long"), F.lit(0).cast("long"))
 
 
-def mixing_key(id_: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), id_.cast("string")))
+def mixing_key(id_: Column, text: Column, seed: int) -> Column:
+    """The hash of the id decides; that of the text puts rows that repeat an id in order."""
+    return F.concat(F.md5(F.concat(F.lit(f"{seed}:"), id_.cast("string"))), F.lit("-"), F.md5(text))
 
 
 def budgets(avail: DataFrame, weights: dict[str, float] | None, temperature: float, total: int | None) -> DataFrame:
@@ -54,12 +59,12 @@ def budgets(avail: DataFrame, weights: dict[str, float] | None, temperature: flo
 def source_cuts(
     rows: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.7, total: int | None = None
 ) -> DataFrame:
-    """(src, epochs, last_key, last_take) from rows (src, key, n).
+    """(src, epochs, last_key, last_rows, last_take, last_of) from rows (src, key, n).
 
     ``epochs`` whole passes, then the documents below ``last_key``, then
-    ``last_take`` tokens of the document at it.
+    ``last_rows`` of the ``last_of`` rows at it and ``last_take`` tokens of one more.
     """
-    ranged = rows.withColumn("part", F.substring("key", 1, RANGE_DIGITS))
+    ranged = cut(rows.withColumn("part", F.substring("key", 1, RANGE_DIGITS)))
     sums = cut(ranged.groupBy("src", "part").agg(F.sum("n").alias("n")))
     plan = budgets(sums.groupBy("src").agg(F.sum("n").alias("tokens")), weights, temperature, total).where("budget > 0").select(
         "src", F.expr("budget div tokens").alias("epochs"), (F.col("budget") % F.col("tokens")).alias("rest")
@@ -72,7 +77,8 @@ def source_cuts(
     inner = ranged.join(edge, ["src", "part"]).groupBy("src", "key").agg(F.sum("n").alias("n"), F.count("*").alias("c"), F.first("want").alias("want"))
     order = Window.partitionBy("src").orderBy("key")
     inner = inner.withColumn("before", F.sum("n").over(order) - F.col("n")).where("before < want AND want <= before + n")
-    ends = inner.select("src", F.col("key").alias("last_key"), F.when((F.col("c") > 1) & (F.col("want") < F.col("before") + F.col("n")), 0).otherwise(F.col("want") - F.col("before")).alias("last_take"))
+    # rows of one key have the same text, so as many tokens each
+    ends = inner.select("src", F.col("key").alias("last_key"), F.expr("(want - before) div (n div c)").alias("last_rows"), F.expr("(want - before) % (n div c)").alias("last_take"), F.col("c").alias("last_of"))
     return plan.select("src", "epochs").join(ends, "src", "left")
 
 
@@ -93,23 +99,31 @@ def mix(
     budget ends keeps just the tokens still due, and the white space before
     them; all other texts are whole. Rows with a null source, id or text, and
     texts without tokens, have no tokens to give and are left out. Rows that
-    repeat an id within a source share a key and are taken or left together;
-    where a budget ends among them they are left, so that source falls short
-    by less than their tokens. An empty table gives no rows.
+    repeat an id within a source go in the order of their texts' hashes, and
+    where a budget ends among rows that repeat both, in that of a hash of all
+    columns. An empty table gives no rows. Texts are counted whole; other
+    columns, clashing names included, are as they were.
     """
-    src, key, n, of, whole, last, take = (fresh(docs, x) for x in ("src_", "key_", "n_", "of_", "whole_", "last_", "take_"))
+    src, key, n, of, whole, last, full, take, same, nth = (fresh(docs, x) for x in ("src_", "key_", "n_", "of_", "whole_", "last_", "full_", "take_", "same_", "nth_"))
     text = F.col(text_col).cast("string")
-    keyed = docs.withColumns({src: F.col(source_col).cast("string"), key: mixing_key(F.col(id_col), seed), n: token_count(text)}).where(
+    keyed = docs.withColumns({src: F.col(source_col).cast("string"), key: mixing_key(F.col(id_col), text, seed), n: token_count(text)}).where(
         F.col(src).isNotNull() & F.col(key).isNotNull() & (F.col(n) > 0)
     )
     cuts = source_cuts(keyed.select(F.col(src).alias("src"), F.col(key).alias("key"), F.col(n).alias("n")), weights, temperature, total)
-    cuts = cuts.select(F.col("src").alias(of), F.col("epochs").alias(whole), F.col("last_key").alias(last), F.col("last_take").alias(take))
+    cuts = cuts.select(F.col("src").alias(of), F.col("epochs").alias(whole), F.col("last_key").alias(last), F.col("last_rows").alias(full), F.col("last_take").alias(take), F.col("last_of").alias(same))
     joined = keyed.join(small(cuts), F.col(src) == F.col(of))
-    more = (F.col(key) < F.col(last)) | ((F.col(key) == F.col(last)) & (F.col(take) > 0))
+    # only rows that repeat the id and text at which a budget ends are numbered, one key for each source at most
+    repeats = F.coalesce((F.col(key) == F.col(last)) & (F.col(same) > 1), F.lit(False))
+    every = [F.to_json(F.struct(F.col(f.name))) if isinstance(f.dataType, (T.MapType, T.StructType, T.ArrayType)) else F.col(f.name) for f in docs.schema.fields]
+    number = F.row_number().over(Window.partitionBy(src).orderBy(F.xxhash64(*every)))
+    joined = joined.where(~repeats).withColumn(nth, F.lit(1)).union(joined.where(repeats).withColumn(nth, number))
+    at_end = F.col(key) == F.col(last)
+    ends_here = at_end & (F.col(nth) == F.col(full) + 1) & (F.col(take) > 0)
+    more = (F.col(key) < F.col(last)) | (at_end & (F.col(nth) <= F.col(full))) | ends_here
     passes = F.col(whole).cast("int") + F.coalesce(more, F.lit(False)).cast("int")
     epoch, taken = fresh(docs, "epoch"), fresh(docs, "n_tokens")
     rows = joined.where(passes > 0).withColumn(epoch, F.explode(F.sequence(F.lit(0), passes - 1)))
-    partial = (F.col(epoch) == F.col(whole)) & (F.col(key) == F.col(last)) & (F.col(take) < F.col(n))
+    partial = (F.col(epoch) == F.col(whole)) & F.coalesce(ends_here, F.lit(False))
     pieces = F.regexp_extract_all(text, F.lit(f"[ \\t\\n\\r\\f]*{TOKEN}"), F.lit(0))
     head = F.array_join(F.slice(pieces, F.lit(1), F.col(take).cast("int")), "")
     out = {text_col: F.when(partial, head).otherwise(text), taken: F.when(partial, F.col(take)).otherwise(F.col(n))}

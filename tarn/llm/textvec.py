@@ -72,7 +72,7 @@ class Words:
     space are words too.
     """
 
-    __slots__ = ("joined", "hash", "start", "end", "counts", "first")
+    __slots__ = ("joined", "hash", "start", "end", "counts", "first", "prefix")
 
     def __init__(self, texts: list, symbols: bool = False):
         parts = [t.lower() if t else "" for t in texts]
@@ -86,14 +86,23 @@ class Words:
         self.end = np.flatnonzero(edge & (inside[:-1] != 0))
         prefix = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(cp * powers(n), out=prefix[1:])
-        h = (prefix[self.end] - prefix[self.start]) * powers(n + 1, True)[self.start]
-        self.hash = mix(h + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self.prefix = prefix
+        self.hash = self._ids(self.start, self.end)
         bounds = np.zeros(len(parts) + 1, dtype=np.int64)
         np.cumsum([len(p) + 1 for p in parts], out=bounds[1:])
         self.first = np.searchsorted(self.start, bounds)
         self.counts = np.diff(self.first)
 
 
+    def _ids(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        h = (self.prefix[end] - self.prefix[start]) * powers(len(self.prefix), True)[start]
+        return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    def heads(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Ids of the first ``n`` characters of the words ``at``, as of a word of its own."""
+        return self._ids(self.start[at], self.start[at] + n)
+
+
 def word_ids(words: list[str]) -> np.ndarray:
     """Ids of single words, as ``Words`` would give them."""
     return Words([" ".join(words)]).hash if words else np.zeros(0, dtype=np.uint64)

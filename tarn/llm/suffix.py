@@ -18,6 +18,12 @@ letter, for hashes may collide. Where neighbours do not settle a group, since
 partners to the left differ from those to the right, every run of ``length``
 words through its anchors is looked up in the group in the same way. Marks are
 joined to passages at the end.
+
+A partition holds what surrounds an anchor, so an anchor of more than ``hot``
+occurrences is settled without one: every run of ``length`` words through it
+goes out as two independent 64-bit hashes, equal ones are counted by an
+aggregation that is combined before the shuffle, and joined back. That finds
+the same words.
 """
 
 from __future__ import annotations
@@ -245,6 +251,34 @@ def match(
     return tuple(out)
 
 
+def _runs(k: int, length: int):
+    """Of each (doc, text, hashes): two hashes and the start of every run of ``length`` words through an anchor with such a hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, ids = batch.column(1).to_pylist(), batch.column(0).to_numpy(zero_copy_only=False)
+            lists = batch.column(2)
+            for a, b in chunks(texts):
+                w = Words(texts[a:b])
+                h, doc, at = anchors(w, k, length)
+                part = lists.slice(a, b - a)
+                wanted = part.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                of = np.repeat(np.arange(b - a), np.diff(part.offsets.to_numpy()))
+                hit = np.isin(mix(h + doc.astype(np.uint64)), mix(wanted + of.astype(np.uint64)))
+                doc, word = doc[hit], (w.first[doc] + at)[hit]
+                back = np.arange(length - k + 1)
+                start, doc = (word[:, None] - back).reshape(-1), np.repeat(doc, len(back))
+                inside = (start >= w.first[doc]) & (start + length <= w.first[doc + 1])
+                start, which = np.unique(start[inside], return_index=True)
+                doc = doc[inside][which]
+                keys = [mix(Hashes(x).run(start, length)) for x in (w.hash, mix(w.hash ^ np.uint64(0x5EC0)))]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(x.view(np.int64)) for x in keys), pa.array(ids[a:b][doc]), pa.array((start - w.first[doc]).astype(np.int64))], ["k1", "k2", "doc", "lo"]
+                )
+
+    return run
+
+
 def _matching(k: int, length: int, rows_at_once: int = 4000):
     """Streams rows sorted by hash. Rows of a group with the very same words mark each other
     as they pass, and one of them is held; groups that hold several are matched, small ones together.
@@ -303,26 +337,38 @@ def _matching(k: int, length: int, rows_at_once: int = 4000):
     return run
 
 
-def repeated_passages(docs: DataFrame, length: int = 50, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, length: int = 50, k: int = 20, hot: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start_word, end_word, n_words, other_ids): the maximal runs of repeated words of each document.
 
     Positions count words (runs of letters and digits, without case) from 0,
     and ``end_word`` is exclusive. ``other_ids`` lists documents, sorted, that
     share part of the passage: for each anchor in it, the neighbours in suffix
     order, where one stands for those whose surroundings are the same; the
-    document itself is among them if it repeats itself.
+    document itself is among them if it repeats itself. Of an anchor that
+    occurs more than ``hot`` times, one document stands for all that share a run.
 
     Rows that share an id are one document, whose text is the one that sorts
     first. Rows without an id or text, and texts of fewer than ``length``
-    words, have no passage. An empty table gives an empty result.
+    words, have no passage. An empty table gives an empty result; other columns
+    are not looked at. Texts are taken whole, about a million characters at a
+    time; a longer one is a batch of its own, at some 80 bytes a character.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
+    # anchors are made twice, which costs less than keeping them
     found = rows.mapInArrow(_anchoring(k, length), "h long, doc long, at int")
-    twice = cut(found.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1").select("doc", "h"))
-    wanted = twice.groupBy("doc").agg(F.collect_set("h").alias("hs"))
-    held = rows.join(wanted, "doc").groupBy("doc").agg(F.min("text").alias("text"), F.first("hs").alias("hs")).select("doc", "text", "hs")
-    around = held.mapInArrow(_surroundings(k, length), "h long, doc long, at int, before int, size int, words string")
+    several = cut(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+
+    def texts_with(kind: DataFrame) -> DataFrame:
+        wanted = found.join(kind.select("h"), "h").groupBy("doc").agg(F.collect_set("h").alias("hs"))
+        return rows.join(wanted, "doc").groupBy("doc").agg(F.min("text").alias("text"), F.first("hs").alias("hs")).select("doc", "text", "hs")
+
+    around = texts_with(several.where(F.col("n") <= hot)).mapInArrow(_surroundings(k, length), "h long, doc long, at int, before int, size int, words string")
     marks = around.repartition("h").sortWithinPartitions("h", "doc", "at").mapInArrow(_matching(k, length), "doc long, lo long, hi long, other long")
+    if not several.where(F.col("n") > hot).isEmpty():
+        runs = cut(texts_with(several.where(F.col("n") > hot)).mapInArrow(_runs(k, length), "k1 long, k2 long, doc long, lo long"))
+        shared = runs.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("z")).where("n > 1")
+        other = F.when(F.col("a") != F.col("doc"), F.col("a")).otherwise(F.col("z"))
+        marks = marks.union(runs.join(shared, ["k1", "k2"]).select("doc", "lo", (F.col("lo") + length).alias("hi"), other))
     marks = marks.groupBy("doc", "lo", "hi").agg(F.collect_set("other").alias("others"))
     order = Window.partitionBy("doc").orderBy("lo", "hi")
     new = F.when(F.col("lo") <= F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)

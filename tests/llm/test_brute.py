@@ -64,8 +64,8 @@ def test_sketch_fills_and_estimates():
     assert (minhash.sketch(ids[:1], np.array([1]), 64) != np.iinfo(np.uint64).max).all()
 
 
-def test_repeated_passages(spark, sf, texts):
-    n = 50
+def passages(texts, n=50):
+    """{(document, first word, last word + 1)} of the maximal runs of words that lie in repeated runs of ``n``."""
     places = defaultdict(list)
     for d, t in texts.items():
         w = words(t)
@@ -84,9 +84,25 @@ def test_repeated_passages(spark, sf, texts):
                 while j in at:
                     j += 1
                 want.add((d, i, j))
-    got = suffix.repeated_passages(table(spark, sf, "documents")).collect()
-    assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in got} == want
-    assert all(r["other_ids"] and r["n_words"] >= n for r in got)
+    return want
+
+
+@pytest.mark.parametrize("hot", [20_000, 2, 1])
+def test_repeated_passages(spark, sf, texts, hot):
+    got = suffix.repeated_passages(table(spark, sf, "documents"), hot=hot).collect()
+    assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in got} == passages(texts)
+    assert all(r["other_ids"] and r["n_words"] >= 50 for r in got)
+
+
+@pytest.mark.parametrize("hot", [20_000, 30])
+def test_a_phrase_in_every_document(spark, hot):
+    rng = np.random.default_rng(2)
+    vocabulary = [f"w{i}" for i in range(500)]
+    phrase = " ".join(rng.choice(vocabulary, 60))
+    rows = {i: " ".join([*rng.choice(vocabulary, rng.integers(0, 90)), phrase, *rng.choice(vocabulary, rng.integers(0, 90))]) for i in range(300)}
+    d = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {(r["doc_id"], r["start_word"], r["end_word"]) for r in suffix.repeated_passages(d, hot=hot).collect()}
+    assert got == passages(rows) and len(got) >= 300
 
 
 def test_bpe_matches_a_public_tokenizer(texts):
@@ -386,3 +402,61 @@ def test_terms_are_generalised_along_a_taxonomy(spark):
     d = spark.createDataFrame([*rows, (200, "from oslo write z@z.example.com")], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in pii.sanitise(d, remove_at=2.0, threshold=0.5, general_at=0.3, broader=tree).collect()} == loose
     assert "norway" in loose[200] or "europe" in loose[200]
+
+
+def test_the_dual_solution():
+    """Against projected gradient ascent on the box-constrained quadratic programme of a small set."""
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(40, 6)), np.where(rng.random(40) < 0.4, 1.0, -1.0)
+    x[:, 0] += y
+    cost = np.where(y > 0, 1.5, 0.75)
+    full = np.c_[x, np.ones(40)] * y[:, None]
+    gram = full @ full.T
+    alpha, step = np.zeros(40), 1 / np.linalg.eigvalsh(gram).max()
+    for _ in range(200_000):
+        alpha = np.clip(alpha + step * (1 - gram @ alpha), 0, cost)
+    best = alpha.sum() - alpha @ gram @ alpha / 2
+    w, b, gap = nbsvm.dual_descent([np.arange(6)] * 40, list(x), y, cost, 6, epochs=5000, tol=1e-7)
+    primal = (w @ w + b * b) / 2 + (cost * np.maximum(0, 1 - y * (x @ w + b))).sum()
+    assert gap <= 1e-7 and abs(primal - best) < 1e-5 * best
+    assert np.allclose(np.r_[w, b], full.T @ alpha, atol=1e-2)
+    with pytest.warns(UserWarning, match="duality gap"):
+        nbsvm.dual_descent([np.arange(6)] * 40, list(x), y, cost, 6, epochs=1, tol=1e-7)
+    assert nbsvm.dual_descent([], [], np.zeros(0), np.zeros(0), 3)[1:] == (0.0, 0.0)
+
+
+def test_wording_distances():
+    """The best passage for a template, against every passage of a short text."""
+    rng = np.random.default_rng(8)
+
+    def differing(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, z in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == z else max(best[i][j + 1], best[i + 1][j])
+        return len(a) + len(b) - 2 * best[-1][-1]
+
+    for _ in range(40):
+        want, have = rng.integers(0, 5, 6).astype(np.int32), rng.integers(-1, 5, 14).astype(np.int32)
+        least = min(differing(want, have[a:b]) for a in range(15) for b in range(a + 1, 15))
+        found = list(licenses.passages(want, have, 4))
+        assert bool(found) == (least <= 4)
+        if found:
+            assert found[0][2] == least == differing(want, have[found[0][0] : found[0][1]])
+            spans = sorted((a, b) for a, b, _ in found)
+            assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:])) and all(differing(want, have[a:b]) == c for a, b, c in found)
+
+
+def test_licences_of_the_tables(spark, sf, texts):
+    """The query against a scan of every passage of every text, templates of one line only, word by word."""
+    from tarn.llm import queries
+
+    got = defaultdict(set)
+    for r in queries.op6_license_scan(spark, sf).collect():
+        got[r["doc_id"]].add(r["licence"])
+    names = {name: [licenses.words(t) for t in ts] for name, ts in licenses.TEMPLATES.items()}
+    for d, t in texts.items():
+        w = licenses.words(t or "")
+        exact = {name for name, ts in names.items() if any(w[i : i + len(x)] == x for x in ts for i in range(len(w) - len(x) + 1))}
+        assert exact <= got[d] or any(n.startswith(e[:3]) for e in exact for n in got[d]), d
+        assert not got[d] or re.search(licenses.SPEAKS, t)

@@ -30,8 +30,13 @@ SHORT_FORMS = dict(
     ).split(";")
 ) | {"which is": "="}
 
-#: Nested fillers ("in order in order to to ") are removed down to this depth.
-FILLER_DEPTH = 4
+#: White space as Unicode has it.
+BLANKS = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def bind(value: Column, f) -> Column:
+    """``f(value)``, where ``value`` is computed once however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
 
 
 def terms(text: Column) -> Column:
@@ -50,43 +55,59 @@ def content_hash(text: Column) -> Column:
 
 def trim_blank(text: Column) -> Column:
     """Without leading and trailing Unicode white space."""
-    return F.regexp_replace(F.regexp_replace(text, "(?U)^\\s+", ""), "(?U)\\s+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def strip_fillers(text: Column) -> Column:
-    """Filler phrases removed wherever they stand, without case, one phrase after the other."""
-    any_of = "(?i)" + "|".join(_literal(p + " ") for p in FILLERS)
-    out = text
-    for phrase in FILLERS:
-        out = F.regexp_replace(out, "(?i)" + _literal(phrase + " "), "")
-    # only texts that still hold a phrase of their own, made by a removal, go round again
-    nested = F.aggregate(F.sequence(F.lit(2), F.lit(FILLER_DEPTH)), text, lambda acc, _: F.when(acc.rlike(any_of), _once(acc)).otherwise(acc))
-    return F.when(~text.rlike(any_of), text).when(~out.rlike(any_of), out).otherwise(nested)
+    """Filler phrases removed wherever they stand, without case: each until none is left, then the next.
+
+    A fold over the phrases. What a removal joins to the same phrase again
+    goes in further rounds, as many as it takes; a round that is not needed
+    costs a look at a flag.
+    """
+    kept = lambda t: F.struct(t.alias("t"), F.lower(t).alias("low"))
 
+    def without(acc: Column, phrase: Column) -> Column:
+        drop = lambda a: kept(F.regexp_replace(a["t"], F.concat(F.lit("(?i)\\Q"), phrase, F.lit("\\E")), F.lit("")))
+        again = lambda a, b: F.struct(*(b[c].alias(c) for c in ("t", "low")), (b["low"].contains(phrase) & (b["t"] != a["t"])).alias("more"))
 
-def _once(text: Column) -> Column:
-    for phrase in FILLERS:
-        text = F.regexp_replace(text, "(?i)" + _literal(phrase + " "), "")
-    return text
+        def repeat(one: Column) -> Column:
+            rounds = F.array_repeat(F.lit(0), F.when(one["more"], F.floor(F.length(one["t"]) / F.length(phrase)).cast("int")).otherwise(0))
+            last = F.aggregate(rounds, one, lambda a, _: F.when(a["more"], bind(drop(a), lambda b: again(a, b))).otherwise(a))
+            return bind(last, lambda a: F.struct(a["t"].alias("t"), a["low"].alias("low")))
+
+        return F.when(acc["low"].contains(phrase), bind(bind(drop(acc), lambda b: again(acc, b)), repeat)).otherwise(acc)
+
+    return F.aggregate(F.array(*(F.lit(p + " ") for p in FILLERS)), kept(text), without, lambda acc: acc["t"])
 
 
 def _literal(phrase: str) -> str:
     return "".join("\\" + c if c in ".,?*+()[]{}|^$" else c for c in phrase)
 
 
+def _between_spaces() -> str:
+    """A pattern of the long words between spaces, told apart by their first letters."""
+    by_first: dict[str, list[str]] = {}
+    for w in sorted(SHORT_FORMS, key=len, reverse=True):
+        by_first.setdefault(w[0], []).append(w[1:])
+    return " (" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_first.items()) + ") "
+
+
 def abbreviate(text: Column) -> Column:
     """Long words, each between two spaces, shortened in one pass from the left.
 
-    A match takes both of its spaces, so a word right after another match stays.
-    The pass marks matches; each mark is then replaced on its own.
+    A match takes both of its spaces, so a word right after another match
+    stays. The text is split at the matches, and the pieces are joined with the short forms.
     """
-    pattern = " (" + "|".join(sorted(SHORT_FORMS, key=len, reverse=True)) + ") "
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    out = F.regexp_replace(padded, pattern, "\u0001$1\u0002")
-    for long, short in SHORT_FORMS.items():
-        out = F.replace(out, F.lit(f"\u0001{long}\u0002"), F.lit(f" {short} "))
-    out = F.when(padded.rlike(pattern), out).otherwise(padded)
-    return F.substring(out, F.lit(2), F.length(out) - 2)
+    pattern = _between_spaces()
+    short = F.create_map(*(F.lit(f" {x} " if i else x) for pair in SHORT_FORMS.items() for i, x in enumerate(pair)))
+
+    def swap(padded: Column) -> Column:
+        said = F.transform(F.regexp_extract_all(padded, F.lit(pattern), F.lit(1)), lambda w: short[w])
+        out = F.array_join(F.zip_with(F.split(padded, pattern, -1), F.concat(said, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+        return F.when(padded.rlike(pattern), out).otherwise(padded)
+
+    return bind(bind(F.concat(F.lit(" "), text, F.lit(" ")), swap), lambda out: F.substring(out, F.lit(2), F.length(out) - 2))
 
 
 def collapse_blanks(text: Column) -> Column:
@@ -101,7 +122,7 @@ def strip_decoration(text: Column) -> Column:
 def compact(text: Column) -> Column:
     """The whole shortening; a text of which nothing would be left stays as it is."""
     out = trim_blank(strip_decoration(collapse_blanks(abbreviate(strip_fillers(text)))))
-    return F.when(out == "", text).otherwise(out)
+    return bind(out, lambda x: F.when(x == "", text).otherwise(x))
 
 
 def chunks(text: Column, target_tokens: int = 512, overlap_tokens: int = 50) -> Column:
@@ -114,28 +135,27 @@ def chunks(text: Column, target_tokens: int = 512, overlap_tokens: int = 50) ->
     """
     limit = 4 * (target_tokens if target_tokens > 0 else 512)
     overlap = 4 * overlap_tokens
-    start = F.struct(F.lit("").alias("buf"), F.array().cast("array<string>").alias("out"))
+    state = lambda buf, out: F.struct(buf.alias("buf"), out.alias("out"))
+    start = state(F.lit(""), F.array().cast("array<string>"))
 
-    def emit(buf: Column, out: Column) -> tuple[Column, Column]:
-        said = trim_blank(buf)
-        return F.when(said == "", buf).otherwise(F.lit("")), F.when(said == "", out).otherwise(F.array_append(out, said))
+    def emit(s: Column) -> Column:
+        return bind(trim_blank(s["buf"]), lambda said: F.when(said == "", s).otherwise(state(F.lit(""), F.array_append(s["out"], said))))
 
     def step(acc: Column, p: Column) -> Column:
         full = (acc["buf"] != "") & (F.octet_length(acc["buf"]) + F.octet_length(p) > limit)
-        buf, out = emit(acc["buf"], acc["out"])
-        buf, out = F.when(full, buf).otherwise(acc["buf"]), F.when(full, out).otherwise(acc["out"])
-        joined = F.concat(buf, F.lit("\n\n"), p)
-        filled = F.octet_length(joined) >= limit
-        after, said = emit(joined, out)
-        return F.when(buf == "", F.struct(p.alias("buf"), out.alias("out"))).when(
-            filled, F.struct(F.concat(after, _tail(p, overlap)).alias("buf"), said.alias("out"))
-        ).otherwise(F.struct(joined.alias("buf"), out.alias("out")))
-
-    def finish(acc: Column) -> Column:
-        return emit(acc["buf"], acc["out"])[1]
-
-    folded = F.aggregate(F.split(text, "\n\n"), start, step, finish)
-    return F.when(text == "", F.array().cast("array<string>")).when(F.size(folded) == 0, F.array(trim_blank(text))).otherwise(folded)
+
+        def add(s: Column) -> Column:
+            def close(joined: Column) -> Column:
+                after = bind(emit(state(joined, s["out"])), lambda e: state(F.concat(e["buf"], _tail(p, overlap)), e["out"]))
+                return F.when(F.octet_length(joined) >= limit, after).otherwise(state(joined, s["out"]))
+
+            return F.when(s["buf"] == "", state(p, s["out"])).otherwise(bind(F.concat(s["buf"], F.lit("\n\n"), p), close))
+
+        return bind(F.when(full, emit(acc)).otherwise(acc), add)
+
+    folded = F.aggregate(F.split(text, "\n\n"), start, step, lambda acc: emit(acc)["out"])
+    whole = bind(folded, lambda out: F.when(F.size(out) == 0, F.array(trim_blank(text))).otherwise(out))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(whole)
 
 
 def _tail(p: Column, n: int) -> Column:

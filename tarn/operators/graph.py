@@ -7,23 +7,12 @@ level, in the shared folder of the cluster.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import text as X
 from tarn.operators.rank import DIGITS
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tarn-checkpoint-"))
-    return df.checkpoint(eager=True)
+from tarn.sources.shared import cut
 
 
 def outgoing(edges: DataFrame, node: str) -> DataFrame:
@@ -64,7 +53,7 @@ def _walk(links: DataFrame, start: str, max_depth: int) -> DataFrame:
     depth = 0
     while max_depth <= 0 or depth < max_depth:
         depth += 1
-        new = _cut(
+        new = cut(
             links.join(frontier.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(depth))
         )
         if new.isEmpty():

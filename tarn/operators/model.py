@@ -47,11 +47,12 @@ EDGES = T.StructType(
 )
 
 
-def derive_entries(requests: DataFrame, target_tokens: int = 512, summary: Column | None = None, embed=None) -> DataFrame:
+def derive_entries(requests: DataFrame, target_tokens: int = 512, summary: Column | None = None, embed=None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Whole entries from (id, collection, content, content_type, metadata, created_at).
 
     ``embed`` maps a text column to an ``array<float>`` column (an Arrow UDF);
     without it vectors are null. ``summary`` is a column, empty by default.
+    Columns named in ``keep`` stay as they are.
     """
     vector = (lambda c: embed(c)) if embed else (lambda c: F.lit(None).cast("array<float>"))
     pieces = F.transform(
@@ -73,6 +74,7 @@ def derive_entries(requests: DataFrame, target_tokens: int = 512, summary: Colum
         F.col("created_at").alias("updated_at"),
         X.token_estimate(F.col("content")).alias("token_count"),
         X.token_estimate(F.col("compact_content")).alias("compact_token_count"),
+        *keep,
     )
 
 

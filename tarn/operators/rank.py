@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import text as X
 from tarn.functions import vector as V
+from tarn.operators.scan import running
+from tarn.sources.shared import cut
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -50,32 +53,47 @@ def idf(n_units, df):
     return F.log1p((n_units - df + 0.5) / (df + 0.5))
 
 
-def bm25(units: DataFrame, query: str, top_k: int = 10, index: DataFrame | None = None) -> DataFrame:
+def bm25(units: DataFrame | None, query: str, top_k: int = 10, index=None) -> DataFrame:
     """(id, score): units ranked by BM25, score descending, then id; all of them if ``top_k`` <= 0.
 
     A repeated query term counts as often as it stands. With ``index`` (stored
-    postings), only the query's terms are read from it. Without one, each text
-    is scanned once and only the counts of the query's terms leave the scan.
+    postings, see ``tarn.sources.index``), only the query's terms are read from
+    it. Without one, texts are scanned once for the statistics, one row, and
+    once for the scores; no text is shuffled. A unit id stands once.
     """
     wanted: dict[str, int] = {}
     for t in query_terms(query):
         wanted[t] = wanted.get(t, 0) + 1
-    if index is None:
-        lens = units.select("unit_id", X.terms(F.col("text")).alias("ts")).where(F.size("ts") > 0).select(
-            "unit_id", F.size("ts").alias("dl"), F.filter("ts", lambda t: t.isin(*wanted) if wanted else F.lit(False)).alias("ts")
-        )
-        stats = corpus_stats(lens)
-        hits = lens.select("unit_id", "dl", F.explode("ts").alias("term")).groupBy("unit_id", "dl", "term").agg(F.count("*").alias("tf"))
-    else:
-        stats = corpus_stats(index.select("unit_id", "dl").distinct())
-        hits = index.where(F.col("term").isin(*wanted) if wanted else F.lit(False))
-    spark = units.sparkSession if units is not None else index.sparkSession
-    terms = spark.createDataFrame(list(wanted.items()), "term string, times int")
-    df = hits.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(terms), "term")  # a row for each term of the query
-    df = df.crossJoin(stats).select("term", "times", "avgdl", idf(F.col("n_units"), F.col("df")).alias("idf"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    out = hits.join(F.broadcast(df), "term").groupBy(F.col("unit_id").alias("id")).agg(F.round(F.sum(part), DIGITS).alias("score"))
-    return top(out, top_k)
+    if index is not None:
+        return top(_scored(index.postings(list(wanted)), index.stats(), wanted), top_k)
+    if not wanted:
+        return top(units.select(F.col("unit_id").alias("id"), F.lit(0.0).alias("score")).limit(0), top_k)
+    counts = [F.size(F.filter("ts", partial(_same, w))).alias(f"tf{i}") for i, w in enumerate(wanted)]
+    tfs = [f"tf{i}" for i in range(len(wanted))]
+    lens = units.select("unit_id", X.terms(F.col("text")).alias("ts")).where(F.size("ts") > 0).select("unit_id", F.size("ts").alias("dl"), *counts)
+    # one row: the collection's size, and how many units have each term
+    stats = lens.agg(F.count("*").alias("n_units"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avgdl"), *(F.count_if(F.col(t) > 0).alias(f"d{t}") for t in tfs))
+    hits = lens.where(" OR ".join(f"{t} > 0" for t in tfs)).crossJoin(F.broadcast(stats))
+    score = sum(times * idf(F.col("n_units"), F.col(f"d{t}")) * _saturation(F.col(t)) for t, times in zip(tfs, wanted.values()))
+    return top(hits.select(F.col("unit_id").alias("id"), F.round(score, DIGITS).alias("score")), top_k)
+
+
+def _same(word: str, term):
+    return term == word
+
+
+def _saturation(tf):
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
+def _scored(hits: DataFrame, stats: tuple[int, float], wanted: dict[str, int]) -> DataFrame:
+    """(id, score) of postings (unit_id, term, tf, dl) of the terms ``wanted`` in a collection of (units, average length)."""
+    hits = hits.withColumn("avgdl", F.lit(float(stats[1])))
+    times = F.create_map(*(F.lit(x) for pair in wanted.items() for x in pair)) if wanted else F.lit(None).cast("map<string,int>")
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of the query
+    df = df.select("term", (times[F.col("term")] * idf(F.lit(stats[0]), F.col("df"))).alias("weight"))
+    part = F.col("weight") * _saturation(F.col("tf"))
+    return hits.join(F.broadcast(df), "term").groupBy(F.col("unit_id").alias("id")).agg(F.round(F.sum(part), DIGITS).alias("score"))
 
 
 def top(ranked: DataFrame, k: int) -> DataFrame:
@@ -142,31 +160,79 @@ def allowed(hits: DataFrame, allow: DataFrame | None, exact: bool = False) -> Da
     return hits.withColumn("doc_", key).join(allow.select(F.col("id").alias("doc_")), "doc_", "left_semi").drop("doc_")
 
 
-def fuse(lists: list[DataFrame], top_k: int = 0) -> DataFrame:
-    """(id, score): reciprocal-rank fusion of ranked lists (id, score)."""
+def fuse(lists: list[DataFrame], top_k: int = 0, short: list[bool] | None = None) -> DataFrame:
+    """(id, score): reciprocal-rank fusion of ranked lists (id, score).
+
+    ``short`` tells which lists were cut to a few rows before and can be ranked
+    by one task; places in any other are found over all partitions of a range sort.
+    """
     parts = None
-    for hits in lists:
-        # the lists are short: each was cut to its top before
-        nth = F.row_number().over(Window.orderBy(F.desc("score"), "id"))
-        part = hits.select("id", (1.0 / (RRF_K + nth)).alias("part"))
+    for i, hits in enumerate(lists):
+        order = [F.desc("score"), F.asc("id")]
+        if short and short[i]:
+            hits = hits.withColumn("before_", F.row_number().over(Window.orderBy(*order)) - 1)
+        else:
+            hits = running(hits, order, F.lit(1))
+        part = hits.select("id", (1.0 / (RRF_K + 1 + F.col("before_"))).alias("part"))
         parts = part if parts is None else parts.unionByName(part)
     return top(parts.groupBy("id").agg(F.round(F.sum("part"), 9).alias("score")), top_k)
 
 
-def near_duplicate_pairs(vectors: DataFrame, threshold: float, id_col: str = "unit_id", vector_col: str = "embedding", block_rows: int = 4096) -> DataFrame:
+def near_duplicate_pairs(
+    vectors: DataFrame, threshold: float, id_col: str = "unit_id", vector_col: str = "embedding", block_rows: int = 4096, most_pivots: int = 256
+) -> DataFrame:
     """(a, b, score) of the pairs a < b with cosine of at least ``threshold``: all pairs, compared exactly.
 
-    Vectors are cut into blocks; each pair of blocks is one matrix product in
-    an Arrow batch function. Vectors of different widths have a cosine of 0.
+    Vectors are grouped around pivots and cut into blocks; each pair of blocks is one matrix product in
+    an Arrow batch function. With a positive threshold, groups too far apart
+    for any pair, by the triangle inequality of angles, are not compared.
+    Vectors of different widths have a cosine of 0.
     """
     import numpy as np
     import pyarrow as pa
 
     rows = vectors.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     n = -(-max(1, rows.count()) // block_rows)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    left = rows.select(F.col("block").alias("i"), F.explode(F.sequence("block", F.lit(n - 1))).alias("j"), "id", "v", F.lit(True).alias("left"))
-    right = rows.select(F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), "id", "v", F.lit(False).alias("left"))
+    # groups around pivots, cut into blocks; two groups can hold a pair only if their angles allow it
+    some = rows.where("size(v) > 0 AND forall(v, x -> x IS NOT NULL)").orderBy(F.xxhash64("id"), "id").limit(min(most_pivots, 2 * n) if threshold > 0 else 1).select("v").collect()
+    wide = max((len(r["v"]) for r in some), default=0)
+    pivots = np.array([r["v"] for r in some if len(r["v"]) == wide], dtype=float).reshape(-1, wide)
+    sizes = np.linalg.norm(pivots, axis=1)
+    pivots = pivots[sizes > 0] / sizes[sizes > 0, None]
+
+    def assign(batches):
+        for b in batches:
+            group, angle = np.zeros(len(b), dtype=np.int32), np.full(len(b), np.pi)
+            vs = b.column(1).to_pylist()
+            at = [i for i, v in enumerate(vs) if len(v) == wide and None not in v]
+            if at and len(pivots):
+                m = np.array([vs[i] for i in at], dtype=float)
+                norm = np.linalg.norm(m, axis=1)
+                near = np.arccos(np.clip(m @ pivots.T / np.where(norm > 0, norm, 1)[:, None], -1, 1))
+                group[at], angle[at] = near.argmin(1), np.where(norm > 0, near.min(1), np.pi)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(group), pa.array(angle)], ["id", "v", "g", "angle"])
+
+    rows = cut(rows.mapInArrow(assign, "id string, v array<double>, g int, angle double"))
+    known = {r["g"]: (r["c"], r["a"]) for r in rows.groupBy("g").agg(F.count("*").alias("c"), F.max("angle").alias("a")).collect()}  # at most most_pivots rows
+    first, blocks = {}, []
+    for g, (c, _) in sorted(known.items()):
+        first[g] = len(blocks)
+        blocks += [g] * -(-c // block_rows)
+    widest = np.arccos(np.clip(threshold - 1e-4, -1, 1)) + 1e-9
+
+    def meet(g: int, h: int) -> bool:
+        if threshold <= 0 or g == h or not len(pivots):
+            return True
+        return np.arccos(np.clip(pivots[g] @ pivots[h], -1, 1)) <= known[g][1] + known[h][1] + widest
+
+    together = {g: sorted(h for h in known if meet(g, h)) for g in known}
+    of = {b: [c for h in together[g] for c in range(first[h], len(blocks)) if blocks[c] == h] for b, g in enumerate(blocks)}
+    size = F.create_map(*(F.lit(x) for g, (c, _) in known.items() for x in (g, -(-c // block_rows)))) if known else F.lit(None).cast("map<int,int>")
+    start = F.create_map(*(F.lit(x) for pair in first.items() for x in pair)) if known else F.lit(None).cast("map<int,int>")
+    rows = rows.withColumn("block", (start[F.col("g")] + F.pmod(F.xxhash64("id"), size[F.col("g")])).cast("int")).drop("g", "angle")
+    pairs = vectors.sparkSession.createDataFrame([(i, j) for i, js in of.items() for j in js if i <= j], "i int, j int")
+    left = rows.join(pairs, rows["block"] == pairs["i"]).select("i", "j", "id", "v", F.lit(True).alias("left"))
+    right = rows.join(pairs, rows["block"] == pairs["j"]).select("i", "j", "id", "v", F.lit(False).alias("left"))
 
     def compare(t: pa.Table) -> pa.Table:
         left = t["left"].to_numpy().astype(bool)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarn.sources.shared import cut
+
 
 def point(df: DataFrame, key: str, value) -> DataFrame:
     return df.where(F.col(key) == F.lit(value))
@@ -62,8 +64,19 @@ def last_calls(calls: DataFrame, limit: int = 100, seq: str = "seq") -> DataFram
 
 def first_by_hash(rows: DataFrame, content: str = "content", order: str = "seq") -> DataFrame:
     """The first row of each distinct content, over all collections."""
-    first = F.row_number().over(Window.partitionBy("hash_").orderBy(order))
-    return rows.withColumn("hash_", F.sha2(F.col(content), 256)).withColumn("nth_", first).where("nth_ = 1").drop("nth_", "hash_")
+    keyed = rows.withColumn("hash_", F.sha2(F.col(content), 256))
+    return keyed.groupBy("hash_").agg(F.min_by(F.struct(*rows.columns), order).alias("r_")).select("r_.*")
+
+
+def last_of_each(calls: DataFrame, most: int, key: str = "channel", seq: str = "seq") -> DataFrame:
+    """(key, seq): the newest ``most`` of each key, as a bounded ring of calls holds them."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(seq)))
+    return calls.select(key, seq).withColumn("nth_", nth).where(F.col("nth_") <= most).drop("nth_")
+
+
+def file_range(spark: SparkSession, path: str, name: str, key: str, start, end=None) -> DataFrame:
+    """The rows start <= key < end, in order, of those of a table's files whose name holds ``name``."""
+    return key_range(spark.read.option("pathGlobFilter", f"*{name}*").parquet(path), key, start, end)
 
 
 def latency_report(calls: DataFrame, ms: str = "ms", ok: str = "ok", wall_seconds: float | None = None) -> DataFrame:
@@ -77,8 +90,11 @@ def latency_report(calls: DataFrame, ms: str = "ms", ok: str = "ok", wall_second
     n = good.count()
     wanted = {name: int((n - 1) * p + 0.5) for name, p in (("p50", 0.50), ("p95", 0.95), ("p99", 0.99))}
     report = calls.agg(F.count("*").alias("requested"), F.count_if(F.col(ok)).alias("ok"), F.count_if(~F.col(ok)).alias("errors"))
-    at = ranked(good.select(F.col(ms).alias("v")), "v").where(F.col("rank_").isin(*set(wanted.values())))
-    picks = at.agg(*(F.coalesce(F.max(F.when(F.col("rank_") == r, F.col("v"))), F.lit(0.0)).alias(name) for name, r in wanted.items()))
+    # the values, counted, in one order over all partitions; a rank is of the value whose run of places holds it
+    runs = running(good.groupBy(F.col(ms).cast("double").alias("v")).agg(F.count("*").alias("c_")), [F.asc("v")], F.col("c_"))
+    runs = runs.select("v", "before_", (F.col("before_") + F.col("c_")).alias("after_")).where(" OR ".join(f"(before_ <= {r} AND {r} < after_)" for r in sorted(set(wanted.values()))))
+    holds = lambda r: (F.col("before_") <= r) & (F.lit(r) < F.col("after_"))
+    picks = runs.agg(*(F.coalesce(F.max(F.when(holds(r), F.col("v"))), F.lit(0.0)).alias(name) for name, r in wanted.items()))
     out = report.crossJoin(picks)
     if wall_seconds is None:
         total = calls.agg((F.sum(ms) / 1000).alias("wall_s"))
@@ -86,17 +102,14 @@ def latency_report(calls: DataFrame, ms: str = "ms", ok: str = "ok", wall_second
     return out.withColumn("wall_s", F.lit(wall_seconds)).withColumn("ops_per_sec", F.col("ok") / F.col("wall_s"))
 
 
-def ranked(rows: DataFrame, value: str) -> DataFrame:
-    """Rows with ``rank_``, their position from 0 in the order of ``value``.
+def running(rows: DataFrame, order: list[Column], weight: Column) -> DataFrame:
+    """Rows with ``before_``, the sum of the weights of all rows before them in an order without ties.
 
-    Counts by distinct value are summed, so that a rank is found with one
-    window over counts by bucket and one within the bucket.
+    The order is a range sort. Sums by partition, as many rows as there are
+    partitions, are added up first; then each partition is summed by itself.
     """
-    counts = rows.groupBy(value).agg(F.count("*").alias("c_")).withColumn("b_", F.floor(F.col(value)))
-    buckets = counts.groupBy("b_").agg(F.sum("c_").alias("bc_"))
-    before = F.coalesce(F.sum("bc_").over(Window.orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    buckets = buckets.select("b_", before.alias("before_"))
-    within = F.coalesce(F.sum("c_").over(Window.partitionBy("b_").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.join(buckets, "b_").withColumn("first_", F.col("before_") + within).select(
-        value, F.explode(F.sequence(F.col("first_"), F.col("first_") + F.col("c_") - 1)).alias("rank_")
-    )
+    parts = cut(rows.repartitionByRange(*order).withColumns({"p_": F.spark_partition_id(), "w_": weight.cast("long")}))
+    upto = F.sum("w_").over(Window.orderBy("p_").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.groupBy("p_").agg(F.sum("w_").alias("w_")).select("p_", F.coalesce(upto, F.lit(0)).alias("start_"))
+    within = F.sum("w_").over(Window.partitionBy("p_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return parts.join(F.broadcast(starts), "p_").withColumn("before_", F.col("start_") + F.coalesce(within, F.lit(0))).drop("p_", "w_", "start_")

@@ -42,7 +42,7 @@ def paragraphs(c):
 
 
 NOISE_HEAD = "Please note that the  information\tflow function database  message request.\n---\n\n\n\n"
-NOISE_TAIL = "\n***\nactually, in order to... which is fine"
+NOISE_TAIL = "\n***\nactually, in order to... which is fine " + "in Order " * 6 + "to " * 6 + "please noin order to te that end"
 
 
 def noisy(c):
@@ -109,9 +109,9 @@ def _q(s: str) -> str:
 
 
 def s_fillers(c: str) -> str:
-    for p in X.FILLERS:
-        c = f"regexp_replace({c}, '{_q(X._literal(p + ' '))}', '', 'gi')"
-    return c
+    """Each phrase in turn, seven times over, which is as deep as the inputs nest it."""
+    phrases = ", ".join(f"'{_q(p)} '" for p in X.FILLERS for _ in range(7))
+    return f"list_reduce([{phrases}], lambda a, p: CASE WHEN contains(lower(a), p) THEN regexp_replace(a, regexp_escape(p), '', 'gi') ELSE a END, {c})"
 
 
 def s_abbreviate(c: str) -> str:
@@ -119,7 +119,7 @@ def s_abbreviate(c: str) -> str:
     out = f"regexp_replace(' ' || {c} || ' ', '{pattern}', chr(1) || '\\1' || chr(2), 'g')"
     for long, short in X.SHORT_FORMS.items():
         out = f"replace({out}, chr(1) || '{long}' || chr(2), ' {short} ')"
-    return f"substring({out}, 2, length({out}) - 2)" if False else f"regexp_replace({out}, '^ | $', '', 'g')"
+    return f"regexp_replace({out}, '^ | $', '', 'g')"
 
 
 def s_blanks(c: str) -> str:

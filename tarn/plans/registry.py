@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions import access
@@ -12,6 +14,9 @@ from tarn.operators import graph, model, rank, scan, search
 from tarn.plans import inputs as I
 from tarn.plans import streams
 from tarn.sources import files
+from tarn.sources.index import Postings, measure, write_postings
+from tarn.sources.shared import shared_dir
+from tarn.sources.store import ContextStore
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -59,6 +64,22 @@ def scan_full(spark, d):
     return I.light_entries(spark, d).select("id", "collection", "token_count")
 
 
+@query("SELECT event_id, user_id, value FROM events WHERE event_id >= 9000 ORDER BY event_id LIMIT 25")
+def scan_range_open(spark, d):
+    return scan.key_range(I.table(spark, d, "events").select("event_id", "user_id", "value"), "event_id", 9000, "", 25)
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id >= 300 AND event_id < 320 ORDER BY event_id")
+def scan_file(spark, d):
+    return scan.file_range(spark, f"{d}/events.parquet", ".parquet", "event_id", 300, 320).select("event_id", "user_id")
+
+
+@query(f"WITH {I.S_DOCS}, w AS (SELECT * FROM d WHERE id = '42'), {I.s_compact('w', 'content')} SELECT id, collection, '' AS summary, compact_content, {I.s_tokens('content')} AS token_count FROM compacted")
+def scan_entry(spark, d):
+    e = model.derive_entries(scan.point(I.requests(spark, d), "id", "42"))
+    return model.project(e, "summary").select("id", "collection", "summary", "compact_content", "token_count")
+
+
 @query(f"WITH {I.S_EDGES} SELECT id, from_id, to_id, label, weight FROM edges WHERE id = 't17'")
 def scan_edge(spark, d):
     return scan.point(I.edges(spark, d), "id", "t17").select("id", "from_id", "to_id", "label", "weight")
@@ -206,9 +227,25 @@ def bm25_dup_terms(spark, d):
     return rank.bm25(I.doc_units(spark, d), "the, The OF", 10)
 
 
+_indexes: dict = {}
+
+
+def _index(spark, d) -> Postings:
+    """Postings of the documents, stored when first asked for in a session and read from then on, as after a put."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    f = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
+    key = spark.sparkContext.applicationId, f.getPath().toString(), f.getModificationTime(), f.getLen()
+    if key not in _indexes:
+        path, units = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}", I.doc_units(spark, d)
+        write_postings(units, path)
+        _indexes[key] = path, measure(units)
+    path, size = _indexes[key]
+    return Postings(spark, [path], *size)
+
+
 @query(f"WITH {s_bm25(WORDS)} SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 10")
 def bm25_stored_postings(spark, d):
-    return rank.bm25(None, WORDS, 10, rank.postings(I.doc_units(spark, d)))
+    return rank.bm25(None, WORDS, 10, _index(spark, d))
 
 
 # filters
@@ -240,6 +277,11 @@ def collection_filter(spark, d):
     return I.requests(spark, d).where("collection = 'src5'").select("id")
 
 
+@query(f"WITH {s_bm25(WORDS)} SELECT id, score FROM bm WHERE id IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE lang = 'es')")
+def allow_exact(spark, d):
+    return rank.allowed(rank.bm25(I.doc_units(spark, d), WORDS, 0), rank.matching(I.requests(spark, d), {"lang": "es"}), exact=True)
+
+
 # vectors
 
 S_KNN = """knn AS (SELECT CAST(x.vec_id AS VARCHAR) AS id, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 5) AS raw
@@ -313,13 +355,11 @@ def rrf_three(spark, d):
     return rank.fuse([rank.bm25(I.doc_units(spark, d), WORDS, 20), rank.knn(I.vectors(spark, d), _q7(spark, d), 20, clamp=False), graph.neighbourhood(I.edges(spark, d), "7", 3)], 20)
 
 
-def _vector7(spark, d):
-    return [float(x) for x in _q7(spark, d).first()["q"]]
-
-
 def _hybrid(spark, d, **more):
-    e = I.entries(spark, d)
-    return search.hybrid(e, I.doc_units(spark, d), WORDS, vectors=I.vectors(spark, d), query_vector=_vector7(spark, d), **more)
+    """Searches by stored postings; only the hits' contents are compacted."""
+    return search.hybrid(
+        I.requests(spark, d), I.doc_units(spark, d), WORDS, vectors=I.vectors(spark, d), query_vector=_q7(spark, d), index=_index(spark, d), hydrate=model.derive_entries, **more
+    )
 
 
 def s_hybrid(allow: str = "", collection: str = "", graph_sql: str = "", prefilter: bool = False, k: int = 10) -> str:
@@ -466,6 +506,11 @@ def graph_overview(spark, d):
     return graph.overview(I.edges(spark, d), I.light_entries(spark, d), "src3", 2500)
 
 
+@query(f"WITH {I.S_EDGES} SELECT id, from_id, to_id, label, weight, source FROM edges WHERE to_id = 'c' ORDER BY created_at, id")
+def graph_edges_to(spark, d):
+    return graph.edges_of(I.edges(spark, d), "", "c").select("id", "from_id", "to_id", "label", "weight", "source")
+
+
 # lists, counts, deduplication
 
 @query(f"WITH {I.S_DOCS} SELECT id, collection, lang, {I.s_tokens('content')} AS token_count, created_at FROM d ORDER BY created_at DESC, id LIMIT 100")
@@ -508,8 +553,8 @@ def dedup_exact(spark, d):
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, CAST(min(doc_id) OVER (PARTITION BY text) AS VARCHAR) AS existing_id FROM documents")
 def dedup_lookup(spark, d):
-    first = F.min("doc_id").over(Window.partitionBy(X.content_hash(F.col("text"))))
-    return _docs(spark, d).select(_id(), first.cast("string").alias("existing_id"))
+    rows = _docs(spark, d).select("doc_id", X.content_hash(F.col("text")).alias("hash"))
+    return rows.join(rows.groupBy("hash").agg(F.min("doc_id").alias("first")), "hash").select(_id(), F.col("first").cast("string").alias("existing_id"))
 
 
 S_LOG = "l AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS seq, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'put' END AS op, value FROM events), z AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)"
@@ -571,8 +616,13 @@ def chunk_suffix(spark, d):
     return u.select("unit_id", X.document_of(F.col("unit_id")).alias("doc"), X.chunk_of(F.col("unit_id")).alias("chunk"))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN length(text) > 500 THEN left(text, 500) || chr(8230) || '(truncated)' ELSE text END AS body FROM documents")
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN length(text) > 32768 THEN left(text, 32768) || chr(8230) || '(truncated)' ELSE text END AS body FROM documents")
 def body_truncation(spark, d):
+    return _docs(spark, d).select(_id(), X.truncated(F.col("text")).alias("body"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN length(text) > 500 THEN left(text, 500) || chr(8230) || '(truncated)' ELSE text END AS body FROM documents")
+def body_truncation_short(spark, d):
     return _docs(spark, d).select(_id(), X.truncated(F.col("text"), 500).alias("body"))
 
 
@@ -619,6 +669,161 @@ def access_permitted(spark, d):
     return r.crossJoin(m).crossJoin(p).withColumn("permitted", access.permitted(F.col("role"), F.col("method"), F.col("path")))
 
 
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'user:' || user_id ELSE 'ip:10.0.0.' || (event_id % 200) END AS key FROM events")
+def access_rate_key(spark, d):
+    e = I.table(spark, d, "events")
+    remote = F.concat(F.lit("10.0.0."), F.col("event_id") % 200, F.when(F.col("event_id") % 2 == 0, ":80").otherwise(""))
+    return e.select("event_id", access.rate_limit_key(F.when(F.col("event_id") % 3 == 0, F.col("user_id").cast("string")), remote).alias("key"))
+
+
+@query("SELECT path, path IN ('/v1/health', '/v1/auth/login') AS open FROM (VALUES ('/v1/health'), ('/v1/search'), ('/v1/auth/login'), ('/v1/users')) p(path) WHERE EXISTS (SELECT 1 FROM events)")
+def access_open_routes(spark, d):
+    paths = spark.createDataFrame([(x,) for x in ("/v1/health", "/v1/search", "/v1/auth/login", "/v1/users")], "path string")
+    return access.open_routes(paths, _users(spark, d))
+
+
+def _users(spark, d):
+    return I.table(spark, d, "events").select(F.col("user_id").cast("string").alias("id")).distinct().select("id", F.concat(F.lit("u"), "id").alias("username"), F.sha2("id", 256).alias("password_hash"))
+
+
+def _tokens(spark, d):
+    e = I.table(spark, d, "events")
+    secret = F.concat(F.lit("secret"), F.col("event_id"))
+    return e.select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("user_id"), F.sha2(secret, 256).alias("token_hash"), (F.col("event_type") == "error").alias("revoked"))
+
+
+def _sessions(spark, d):
+    return I.table(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("user_id"), (F.lit(1000) + F.col("event_id")).alias("expires_at"))
+
+
+@query("SELECT count(DISTINCT user_id) AS n_users FROM events")
+def access_user_count(spark, d):
+    return access.user_count(_users(spark, d))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS id, 'u' || user_id AS username FROM events WHERE event_id = 17 AND event_type <> 'error'")
+def access_token_user(spark, d):
+    return access.public_users(access.authenticate(_tokens(spark, d), _users(spark, d), "secret17"))
+
+
+@query("WITH g AS (SELECT CAST(user_id AS VARCHAR) AS u FROM events WHERE event_id = 17) SELECT 'user' AS kind, count(DISTINCT user_id) AS n FROM events WHERE CAST(user_id AS VARCHAR) <> (SELECT u FROM g) "
+       "UNION ALL SELECT k, count(*) FROM events, (VALUES ('token'), ('session')) x(k) WHERE CAST(user_id AS VARCHAR) <> (SELECT u FROM g) GROUP BY k")
+def access_delete_cascade(spark, d):
+    gone = I.table(spark, d, "events").where("event_id = 17").first()["user_id"]
+    left = access.delete_user(_users(spark, d), _tokens(spark, d), _sessions(spark, d), str(gone), "someone")
+    out = None
+    for kind, rows in zip(("user", "token", "session"), left):
+        n = rows.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS user_id, event_type <> 'error' AS active FROM events")
+def access_public_tokens(spark, d):
+    return access.public_tokens(_tokens(spark, d))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS user_id, 1000 + event_id AS expires_at FROM events WHERE 1000 + event_id > 1500")
+def access_live_sessions(spark, d):
+    return access.live_sessions(_sessions(spark, d), F.lit(1500))
+
+
+@query("SELECT event_id AS seq, 'mcp' AS channel, event_type AS tool, CAST(floor(value) AS BIGINT) AS duration_ms, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, event_type <> 'error' AS ok, "
+       "CAST(user_id AS VARCHAR) AS request, repeat('x', 32768) || chr(8230) || '(truncated)' AS response FROM events ORDER BY event_id DESC LIMIT 50")
+def access_audit_calls(spark, d):
+    e = I.table(spark, d, "events")
+    calls = e.select(
+        F.col("event_id").alias("seq"), F.col("event_type").alias("tool"), F.col("user_id").cast("string").alias("request"), F.repeat(F.lit("x"), 40_000).alias("response"),
+        (F.col("event_type") == "error").alias("failed"), F.floor("value").cast("long").alias("duration_ms"),
+    )
+    return access.audit_list(access.call_rows(calls), "admin", 50)
+
+
+@query(f"WITH {s_bm25(WORDS)}, h AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS n FROM bm ORDER BY score DESC, id LIMIT 5) "
+       "SELECT n || '. id=' || id || ' collection=' || coalesce(source, '') || ' score=' || CAST(CAST(round(score * 1000) AS BIGINT) AS VARCHAR) || ' ' || chr(8212) || ' ' || CASE WHEN length(text) > 240 THEN left(text, 240) || '...' ELSE text END AS line "
+       "FROM h JOIN documents ON CAST(doc_id AS VARCHAR) = id")
+def search_snippets(spark, d):
+    hits = rank.bm25(None, WORDS, 5, _index(spark, d))
+    nth = scan.running(hits, [F.desc("score"), F.asc("id")], F.lit(1)).select("id", "score", (F.col("before_") + 1).alias("n"))
+    rows = F.broadcast(nth).join(I.requests(spark, d), "id")
+    return rows.select(access.snippet(F.col("n"), F.col("id"), F.col("collection"), F.round(F.col("score") * 1000).cast("long"), F.col("content")).alias("line"))
+
+
+# the store
+
+_FILLED = "documents WHERE text IS NOT NULL AND text <> ''"
+
+
+def _store(spark, d) -> ContextStore:
+    return ContextStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+
+
+def _puts(spark, d):
+    return I.requests(spark, d).where("content <> ''").withColumn("order_", F.col("id").cast("long"))
+
+
+@query(f"SELECT sha256(text) AS content_hash, CAST(coalesce(min(doc_id) FILTER (doc_id % 2 = 0), min(doc_id)) AS VARCHAR) AS id FROM {_FILLED} GROUP BY text")
+def store_put_dedup(spark, d):
+    """Every other document, then all: what is known keeps its id."""
+    store, rows = _store(spark, d), _puts(spark, d)
+    store.put(rows.where("order_ % 2 = 0"))
+    return store.put(rows)
+
+
+_FIRSTS = f"f AS (SELECT CAST(min(doc_id) AS VARCHAR) AS id, arg_min(coalesce(source, ''), doc_id) AS collection, arg_min(coalesce(lang, ''), doc_id) AS lang, text AS content FROM {_FILLED} GROUP BY text)"
+
+
+@query(f"WITH {_FIRSTS} SELECT id, collection FROM f WHERE lang <> 'de' AND collection <> 'src4'")
+def store_delete(spark, d):
+    store = _store(spark, d)
+    store.put(_puts(spark, d))
+    store.delete(store.matching({"lang": "de"}))
+    store.delete_collection("src4")
+    return store.entries().select("id", "collection")
+
+
+@query(f"WITH g AS (SELECT text, min(doc_id) FILTER (doc_id % 2 = 0) AS e, arg_min(coalesce(lang, ''), doc_id) FILTER (doc_id % 2 = 0) AS l, min(doc_id) AS m FROM {_FILLED} GROUP BY text) "
+       f"SELECT CAST(CASE WHEN l <> 'de' THEN e ELSE m END AS VARCHAR) AS id, sha256(text) AS hash, {I.s_tokens('text')} AS token_count FROM g")
+def store_compact(spark, d):
+    """Half of the documents, some deleted, all put again, compacted, and what is no longer needed removed."""
+    store, rows = _store(spark, d), _puts(spark, d)
+    store.put(rows.where("order_ % 2 = 0"))
+    store.delete(store.matching({"lang": "de"}))
+    store.put(rows)
+    store.compact()
+    store.vacuum()
+    return store.entries().select("id", X.content_hash(F.col("content")).alias("hash"), "token_count")
+
+
+_STORE_UNITS = f"{_FIRSTS}, fc AS (SELECT *, {I.s_chunks('content', 512)} AS cs FROM f), units AS (SELECT id AS unit_id, content AS text FROM fc UNION ALL SELECT id || '#' || unnest(range(len(cs))), unnest(cs) FROM fc)"
+
+
+@query(f"WITH {s_bm25(WORDS, _STORE_UNITS)}, b20 AS (SELECT * FROM bm ORDER BY score DESC, id LIMIT 20), {s_ranked('r1', 'b20')}, {s_fused('r1', k=20)}, "
+       "w AS (SELECT split_part(id, '#', 1) AS doc, CASE WHEN contains(id, '#') THEN CAST(split_part(id, '#', 2) AS INTEGER) ELSE -1 END AS chunk, id AS u, score FROM fused), "
+       "n AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, u) AS nth FROM w) "
+       f"SELECT doc AS id, n.score, chunk AS best_chunk_index, {I.s_tokens('content')} AS token_count FROM n JOIN f ON f.id = doc WHERE nth = 1 ORDER BY n.score DESC, doc LIMIT 10")
+def store_search(spark, d):
+    """Documents and chunks, ranked by the postings that put has stored."""
+    store = _store(spark, d)
+    store.put(_puts(spark, d))
+    return store.search(WORDS, 10).select("id", "score", "best_chunk_index", "token_count")
+
+
+@query(f"WITH {I.S_EDGES} SELECT id, from_id, to_id, label, weight, source FROM edges WHERE id <> 't17'")
+def store_edges(spark, d):
+    store = _store(spark, d)
+    store.put_edges(I.edges(spark, d).where("id <> 'y3'"))
+    store.delete_edge("t17")
+    store.put_edges(I.edges(spark, d).where("id = 'y3'"))
+    store.compact()
+    return store.edges().select("id", "from_id", "to_id", "label", "weight", "source")
+
+
+@query("SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '" + TERMS + "')) AS term FROM documents) GROUP BY ALL) WHERE term IN ('the', 'of', 'and') GROUP BY term")
+def index_terms(spark, d):
+    return _index(spark, d).postings(WORDS.split()).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
 # streams
 
 @query("SELECT DISTINCT sha256(text) AS hash FROM documents")

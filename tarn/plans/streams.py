@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.sources.shared import shared_dir
 from tarn.streaming import ingest
 
 
@@ -25,11 +24,7 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _drained(stream: DataFrame, mode: str, newest: list[str] | None = None) -> DataFrame:
     """What the stream wrote; with ``newest``, the last row written for each key."""
     spark = stream.sparkSession
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if not named and not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    base = os.path.join(named, f"stream-{uuid.uuid4().hex}") if named else tempfile.mkdtemp(prefix="tarn-stream-")
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, n: int) -> None:
         batch.withColumn("batch_", F.lit(n)).write.mode("overwrite").parquet(f"{base}/out/b={n}")

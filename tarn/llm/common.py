@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.sources.shared import shared_dir
+
 
 def find_package(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver did, if it is not installed."""
@@ -26,13 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names; only a local master gets one of its own."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if not named and not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tarn-checkpoint-"))
+    shared_dir(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -41,8 +41,9 @@ from tarn.llm.textvec import Words, chunks, mix, word_ids
 
 #: What a text must hold for any pattern below to match: a digit of any script or an at sign, or one of the rarer signs.
 DIGIT_OR_AT = r"[\p{Nd}@]"
-RARER = r"::|-----BEGIN|(?:^|[^\p{L}\p{N}_])(?:Mrs?|Ms|Dr|Prof|Herrn?|Frau|Mme|Mlle|Monsieur|Madame|Señora?|Sra?|Doña|Don)[. ]"
-KEYWORDS = ("passw", "passphrase", "pwd", "secret", "kennwort", "contraseña", "mot de passe", "api_key", "api-key", "apikey", "token")
+SIGNS = ("::", "-----BEGIN")
+TITLES = ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Mlle", "Monsieur", "Madame", "Señor", "Sr", "Doña", "Don ", "Don.")
+KEYWORDS = ("pass", "pwd", "secret", "kennwort", "contrase", "mot de", "key", "token")
 _GAP = r"[\W_]{1,6}"
 _HEX = r"[0-9A-Fa-f]{1,4}"
 _NAME = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
@@ -65,15 +66,53 @@ PATTERNS = {
     rf"|\b[A-ZÀ-Þ][^\W\d_]*(?:straße|strasse|gasse|platz|allee) \d{{1,4}}[a-z]?\b|\b\d{{1,4}}(?: bis)?,? (?:rue|avenue|boulevard|place|quai) (?:d[eu]s? |de la |de l'|d')?{_NAME}\b|\b(?:Calle|Avenida|Plaza|Paseo) (?:de (?:la |los |las )?|del )?{_NAME},? \d{{1,4}}\b",
     "PERSON": rf"\b(?:Mr|Mrs|Ms|Dr|Prof|Herrn?|Frau|Mme|Mlle|Monsieur|Madame|Señora?|Sra?|Doña|Don)\b\.? (?=[A-ZÀ-Þ]){_NAME}(?: (?=[A-ZÀ-Þ]){_NAME})?",
 }
-FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
+
+
+def _split(kind: str, n: int) -> tuple[str, str]:
+    """The first ``n`` alternatives of a pattern and the rest."""
+    parts, depth, at = [], 0, 0
+    p = PATTERNS[kind]
+    for i, c in enumerate(p):
+        if p[i - 1] != "\\" or p[i - 2] == "\\":
+            depth += (c in "([" and not (depth < 0)) - (c in ")]")
+            if c == "|" and depth == 0:
+                parts.append(p[at:i])
+                at = i + 1
+    parts.append(p[at:])
+    return "|".join(parts[:n]), "|".join(parts[n:])
+
+
+def _has(pattern: str):
+    return re.compile(pattern).search
+
+
+#: (kind, pattern, what a text must hold for it, whether it begins at a run of digits, a plus sign or a bracket), by precedence.
+FINDERS = [
+    (kind, re.compile(pattern), needs, at_digits)
+    for kind, pattern, needs, at_digits in (
+        ("EMAIL", PATTERNS["EMAIL"], _has("@"), False),
+        ("KEY", PATTERNS["KEY"], _has("-----BEGIN|A[KSI]IA|AIDA|AROA|gh[pousr]_|xox|sk-|AIza|eyJ"), False),
+        ("SECRET", _split("SECRET", 3)[0], lambda text: any(k in low for low in (text.lower(),) for k in KEYWORDS), False),
+        ("SECRET", _split("SECRET", 3)[1], _has("[0-9A-Fa-f]{32}"), False),
+        ("IP", _split("IP", 1)[0], None, True),
+        ("IP", _split("IP", 1)[1], _has("::|(?::[0-9A-Fa-f]{1,4}){7}"), False),
+        ("SSN", PATTERNS["SSN"], None, True),
+        ("CARD", PATTERNS["CARD"], None, True),
+        ("IBAN", PATTERNS["IBAN"], _has(r"[A-Z]{2}\d\d"), False),
+        ("PHONE", PATTERNS["PHONE"], None, True),
+        ("STREET", PATTERNS["STREET"], _has("straße|strasse|gasse|platz|allee|rue|avenue|boulevard|place|quai|Calle|Avenida|Plaza|Paseo|St|Ave|Road|Rd|Lane|Ln|Boulevard|Blvd|Dr|Court|Ct|Square|Terrace"), False),
+        ("PERSON", PATTERNS["PERSON"], _has("|".join(x.replace(".", "[.]") for x in TITLES)), False),
+    )
+]
+_starts = re.compile(r"[+(]|\d+").finditer
 WORD = re.compile(r"[^\W_]+")
 
 
 def may_hold(text: Column) -> Column:
     """Whether a text may hold a mention; false for null."""
     low = F.lower(text)
-    word = reduce(or_, (low.contains(k) for k in KEYWORDS))
-    return F.coalesce(text.rlike(DIGIT_OR_AT) | text.rlike(RARER) | word, F.lit(False))
+    found = [text.rlike(DIGIT_OR_AT), *(text.contains(x) for x in (*SIGNS, *TITLES)), *(low.contains(k) for k in KEYWORDS)]
+    return F.coalesce(reduce(or_, found), F.lit(False))
 
 
 def _is_one(kind: str, value: str) -> bool:
@@ -87,9 +126,43 @@ def _is_one(kind: str, value: str) -> bool:
 
 
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, normalised value) of each mention, in order; mentions don't overlap."""
-    found = (m for m in FINDER.finditer(text) if _is_one(m.lastgroup, m.group()))
-    return [(m.start(), m.end(), m.lastgroup, m.lastgroup + ":" + re.sub(r"[\W_]+", ".", m.group().lower()).strip(".")) for m in found]
+    """(start, end, kind, normalised value) of each mention, in order; mentions don't overlap.
+
+    The leftmost is taken, of several at one place the first by precedence.
+    Patterns that begin at digits are tried where digits begin, others only in
+    texts that hold what they need.
+    """
+    starts = [m.start() for m in _starts(text)]
+    anchored = [(i, f) for i, f in enumerate(FINDERS) if f[3]] if starts else []
+    free = [(i, f) for i, f in enumerate(FINDERS) if not f[3] and f[2](text)]
+    if not anchored and not free:
+        return []
+
+    def later(i: int, f: tuple, pos: int):
+        for m in f[1].finditer(text, pos):
+            if _is_one(f[0], m.group()):
+                return m.start(), i, m
+        return None
+
+    out, pos, at = [], 0, 0
+    ahead = {i: later(i, f, 0) for i, f in free}
+    while True:
+        best = min((x for x in ahead.values() if x), key=lambda x: x[:2], default=None)
+        while at < len(starts) and (starts[at] < pos or best is None or starts[at] <= best[0]):
+            if starts[at] >= pos:
+                hit = next(((starts[at], i, m) for i, f in anchored if (m := f[1].match(text, starts[at]))), None)
+                if hit and (best is None or hit[:2] < best[:2]):
+                    best = hit
+                    break
+            at += 1
+        if best is None:
+            return out
+        start, i, m = best
+        kind, pos = FINDERS[i][0], m.end()
+        out.append((start, pos, kind, kind + ":" + re.sub(r"[\W_]+", ".", m.group().lower()).strip(".")))
+        for i, f in free:
+            if ahead[i] and ahead[i][0] < pos:
+                ahead[i] = later(i, f, pos)
 
 
 def entity_ids(values: list[str]) -> np.ndarray:
@@ -149,10 +222,12 @@ class Taxonomy:
         for i in (i for i, w in enumerate(words) if w in self.broader):
             up = self.above(words[i])
             out[i, : len(up)] = self._broad(up)
-        for n in range(1, CLASSES + 1):
-            longer = [i for i, w in enumerate(words) if len(w) > n]
-            if longer:
-                out[longer, self.depth + CLASSES - n] = mix(word_ids([words[i][:n] for i in longer]) ^ _NUMBERED[n - 1])
+        if words:
+            w = Words([" ".join(words)])
+            size = w.end - w.start
+            for n in range(1, CLASSES + 1):
+                longer = np.flatnonzero(size > n)
+                out[longer, self.depth + CLASSES - n] = mix(w.heads(longer, n) ^ _NUMBERED[n - 1])
         return out.view(np.int64)
 
     def name(self, word: str, level: int) -> str | None:

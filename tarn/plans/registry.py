@@ -836,7 +836,10 @@ def stream_last_calls(spark, d):
     return streams.last_calls(spark, d, 20)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch(ts) AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+r AS (SELECT key, at, n, 5.0::DOUBLE AS tokens FROM e WHERE n = 1
+      UNION ALL SELECT e.key, e.at, e.n, least(5.0::DOUBLE, r.tokens - (r.tokens >= 1)::INT + (e.at - r.at) * 0.001::DOUBLE) FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)
+SELECT key, at, tokens >= 1 AS allowed FROM r""")
 def stream_token_bucket(spark, d):
     return streams.token_buckets(spark, d)
 

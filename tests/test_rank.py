@@ -26,3 +26,77 @@ def test_all_pairs_of_the_table(spark, sf):
     want = {(min(a, b), max(a, b)): score[i, j] for i, a in enumerate(ids) for j, b in enumerate(ids[:i])}
     got = {(r["a"], r["b"]): r["score"] for r in registry.QUERIES["cosine_pairs_all"](spark, sf).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1.1e-5 for k in want)
+
+
+def test_near_duplicates_by_blocks_and_pivots(spark):
+    import numpy as np
+
+    from tarn.operators import rank
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(6, 12))
+    x = (centres[rng.integers(0, 6, 400)] + rng.normal(size=(400, 12)) * 0.15).astype(np.float32)
+    x[7] = 0
+    rows = [(f"v{i}", v.tolist()) for i, v in enumerate(x)] + [("short", [1.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "unit_id string, embedding array<float>")
+    u = x.astype(float) / np.maximum(np.linalg.norm(x.astype(float), axis=1, keepdims=True), 1e-12)
+    score = np.round(u @ u.T, 5)
+    for t in (0.9, 0.985, -2.0):
+        got = {(r["a"], r["b"]) for r in rank.near_duplicate_pairs(vectors.where("unit_id <> 'short'") if t < 0 else vectors, t, block_rows=30).collect()}
+        want = {tuple(sorted((f"v{i}", f"v{j}"))) for i in range(400) for j in range(i) if score[i, j] >= t}
+        assert got == want
+
+
+def test_fusion_of_a_long_list_over_many_partitions(spark):
+    from pyspark.sql import functions as F
+
+    long = spark.range(5000).select(F.col("id").cast("string").alias("id"), (F.col("id") % 7).cast("double").alias("score")).repartition(9)
+    order = [r["id"] for r in long.orderBy(F.desc("score"), "id").collect()]
+    got = {r["id"]: r["score"] for r in rank.fuse([long, long.limit(0)], 0, [False, True]).collect()}
+    assert got.keys() == set(order) and all(abs(got[x] - 1 / (61 + i)) < 1.1e-9 for i, x in enumerate(order))
+
+
+def test_percentiles(spark):
+    import numpy as np
+
+    from tarn.operators import scan
+
+    values = np.round(np.random.default_rng(1).gamma(2, 40, 3000), 1)
+    calls = spark.createDataFrame([(float(v), i % 9 != 0) for i, v in enumerate(values)], "ms double, ok boolean")
+    good = sorted(v for i, v in enumerate(values) if i % 9)
+    r = scan.latency_report(calls).first()
+    assert [r["p50"], r["p95"], r["p99"]] == [good[int((len(good) - 1) * p + 0.5)] for p in (0.5, 0.95, 0.99)] and r["errors"] == 334
+    none = scan.latency_report(calls.where("ms < 0")).first()
+    assert (none["requested"], none["p50"], none["ops_per_sec"]) == (0, 0.0, 0.0)
+
+
+def test_approximate_neighbours(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("CAST(vec_id AS STRING) AS unit_id", "embedding")
+    q = [float(x) for x in rows.where("unit_id = '7'").first()["embedding"]]
+    near = {r["id"] for r in rank.lsh_knn(rows, q, 10, tables=20, bucket=0.8).collect()}
+    assert len(near & {r["id"] for r in rank.knn(rows, q, 10).collect()}) >= 9
+
+
+def test_a_bucket_of_tokens_in_any_order(spark, tmp_path):
+    import random
+
+    from tarn.streaming.ingest import token_buckets
+
+    rnd = random.Random(5)
+    rows = [(rnd.choice("abc"), round(rnd.random() * 600, 3)) for _ in range(500)]
+    want = []
+    for key in "abc":
+        tokens, last = 3.0, None
+        for at in sorted(t for k, t in rows if k == key):
+            tokens = min(3.0, tokens + ((at - last) * 0.05 if last is not None else 0))
+            last = at
+            want.append((key, at, tokens >= 1))
+            tokens -= tokens >= 1
+    spark.createDataFrame(rows, "key string, at double").repartition(6).write.parquet(str(tmp_path / "in"))
+    stream = token_buckets(spark.readStream.schema("key string, at double").option("maxFilesPerTrigger", 100).parquet(str(tmp_path / "in")), 0.05, 3.0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        stream.writeStream.format("memory").queryName("poured").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(tuple(r) for r in spark.table("poured").collect()) == sorted(want)

@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.functions.text import bind
 from tarn.llm.common import cut, fresh, list_array
 from tarn.llm.textvec import Words, chunks, mix, word_ids
 
@@ -110,9 +111,8 @@ WORD = re.compile(r"[^\W_]+")
 
 def may_hold(text: Column) -> Column:
     """Whether a text may hold a mention; false for null."""
-    low = F.lower(text)
-    found = [text.rlike(DIGIT_OR_AT), *(text.contains(x) for x in (*SIGNS, *TITLES)), *(low.contains(k) for k in KEYWORDS)]
-    return F.coalesce(reduce(or_, found), F.lit(False))
+    said = bind(F.lower(text), lambda low: reduce(or_, (low.contains(k) for k in KEYWORDS)))
+    return F.coalesce(reduce(or_, [text.rlike(DIGIT_OR_AT), *(text.contains(x) for x in (*SIGNS, *TITLES)), said]), F.lit(False))
 
 
 def _is_one(kind: str, value: str) -> bool:

@@ -42,6 +42,19 @@ def small(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def any_of(words) -> str:
+    """A pattern of plain words that shares their beginnings, so that few branches are tried at each place."""
+    by_first: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        by_first.setdefault(w[0], []).append(w[1:])
+    branches = []
+    for first, rest in by_first.items():
+        more = any_of(r for r in rest if r)
+        plain = first if first.isalnum() or first == " " else "\\" + first
+        branches.append(plain + (f"(?:{more})" if "|" in more else more) if all(rest) else plain + (f"(?:{more})?" if more else ""))
+    return "|".join(branches)
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have (names compare without case)."""
     taken = {c.lower() for c in df.columns}

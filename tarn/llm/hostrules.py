@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import cut, small
+from tarn.functions.text import bind
+from tarn.llm.common import any_of, cut, small
 
 INSULTS = (
     "idiot|idiots|moron|morons|stupid|dumb|dumbass|imbecile|imbeciles|loser|losers|scum|trash|garbage|pathetic|worthless|disgusting|"
@@ -42,17 +43,41 @@ def domain(host: Column) -> Column:
     return F.when(found != "", found).otherwise(h)
 
 
-def rules(text: Column) -> dict[str, Column]:
-    """Whether a text fails each rule; a null text fails ``empty`` only. No rule's limit depends on the text's length."""
+def word_counts(text: Column) -> Column:
+    """struct(n, distinct): words, and distinct ones in each window, summed. The words are found once, not once for each window."""
+
+    def count(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(words) - 1) / WINDOW).cast("int")))
+        distinct = F.aggregate(starts, F.lit(0), lambda a, i: a + F.size(F.array_distinct(F.slice(words, i * WINDOW + 1, F.lit(WINDOW)))))
+        return F.struct(F.size(words).alias("n"), distinct.alias("distinct"))
+
+    return bind(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), count)
+
+
+def _without(text: Column, signs: str) -> Column:
+    for sign in signs:
+        text = F.replace(text, F.lit(sign), F.lit(""))
+    return text
+
+
+def _insulting(text: Column) -> Column:
+    """Whether an insult stands as a word."""
+    words = INSULTS.split("|")
+    return F.lower(text).rlike(f"(?:^|[^\\p{{L}}])(?=[{''.join(sorted({w[0] for w in words}))}])(?:{any_of(words)})(?:[^\\p{{L}}]|$)")
+
+
+def rules(text: Column, counts: Column | None = None) -> dict[str, Column]:
+    """Whether a text fails each rule; a null text fails ``empty`` only. No rule's limit depends on the text's length.
+
+    ``counts`` is a column that holds ``word_counts`` of the text.
+    """
     t = F.coalesce(text, F.lit(""))
-    words = F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
-    n = F.size(words)
-    symbols = F.length(t) - F.length(F.translate(t, "#*%&$!", ""))
-    bars = F.length(t) - F.length(F.translate(t, "|", ""))
+    counts = word_counts(text) if counts is None else counts
+    n, distinct = counts["n"], counts["distinct"]
+    symbols = F.length(t) - F.length(_without(t, "#*%&$!"))
+    bars = F.length(t) - F.length(_without(t, "|"))
     capitals = F.regexp_count(t, F.lit("\\p{Lu}"))
     lines = F.split(t, "\n")
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / WINDOW).cast("int")))
-    distinct = F.aggregate(starts, F.lit(0), lambda a, i: a + F.size(F.array_distinct(F.slice(words, i * WINDOW + 1, F.lit(WINDOW)))))
     return {
         "empty": n == 0,
         "symbols": symbols > 0.2 * n,
@@ -60,7 +85,7 @@ def rules(text: Column) -> dict[str, Column]:
         "capitals": (F.length(t) >= 20) & (capitals > 0.3 * F.length(t)),
         "repetition": (n >= 20) & (distinct < 0.5 * n),
         "lines": (F.size(lines) >= 4) & (F.size(F.array_distinct(lines)) < 0.5 * F.size(lines)),
-        "insults": F.lower(t).rlike(f"(^|[^\\p{{L}}])({INSULTS})([^\\p{{L}}]|$)"),
+        "insults": _insulting(t),
     }
 
 
@@ -98,9 +123,10 @@ def judge(docs: DataFrame, most: float = 0.5, id_col: str = "doc_id", host_col:
     null ids count as any other; an empty table gives no rows. Texts are
     measured whole, in time linear in their length. Other columns are not looked at.
     """
-    failed = rules(F.col(text_col).cast("string"))
-    fails = sum((c.cast("int") for c in failed.values()), F.lit(0))
-    rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), domain(F.col(host_col).cast("string")).alias("host"), fails.alias("fails")))
+    text = F.col(text_col).cast("string")
+    counted = docs.select(F.col(id_col).cast("long").alias("doc_id"), domain(F.col(host_col).cast("string")).alias("host"), text.alias("text"), word_counts(text).alias("counts"))
+    fails = sum((c.cast("int") for c in rules(F.col("text"), F.col("counts")).values()), F.lit(0))
+    rows = cut(counted.select("doc_id", "host", fails.alias("fails")))
     hosts = host_rates(rows.select("host", "fails"))
     return rows.join(small(hosts), "host").select(
         "doc_id", "host", "fails", "docs", "failed", "rate", ((F.col("fails") == 0) & (F.col("rate") < most)).alias("keep")

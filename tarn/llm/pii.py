@@ -28,16 +28,13 @@ from __future__ import annotations
 import ipaddress
 import re
 from collections.abc import Iterator
-from functools import reduce
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.functions.text import bind
-from tarn.llm.common import cut, fresh, list_array
+from tarn.llm.common import any_of, cut, fresh, list_array
 from tarn.llm.textvec import Words, chunks, mix, word_ids
 
 #: What a text must hold for any pattern below to match: a digit of any script or an at sign, or one of the rarer signs.
@@ -111,8 +108,10 @@ WORD = re.compile(r"[^\W_]+")
 
 def may_hold(text: Column) -> Column:
     """Whether a text may hold a mention; false for null."""
-    said = bind(F.lower(text), lambda low: reduce(or_, (low.contains(k) for k in KEYWORDS)))
-    return F.coalesce(reduce(or_, [text.rlike(DIGIT_OR_AT), *(text.contains(x) for x in (*SIGNS, *TITLES)), said]), F.lit(False))
+    plain, loose = any_of((*SIGNS, *TITLES)), any_of(KEYWORDS)
+    firsts = {x[0] for x in (*SIGNS, *TITLES, *KEYWORDS)} | {k[0].upper() for k in KEYWORDS}
+    rarer = f"(?=[{''.join(sorted(firsts - {'-'}))}-])(?:{plain}|(?i:{loose}))"
+    return F.coalesce(text.rlike(DIGIT_OR_AT) | text.rlike(rarer), F.lit(False))
 
 
 def _is_one(kind: str, value: str) -> bool:

@@ -301,15 +301,9 @@ S_PAIRS = """SELECT CAST(a.vec_id AS VARCHAR) AS a, CAST(b.vec_id AS VARCHAR) AS
 FROM embeddings a JOIN embeddings b ON CAST(a.vec_id AS VARCHAR) < CAST(b.vec_id AS VARCHAR)"""
 
 
-@query(f"SELECT * FROM ({S_PAIRS} AND a.label = b.label AND a.label = 3)")
+@query(S_PAIRS)
 def cosine_pairs(spark, d):
-    v = I.table(spark, d, "embeddings").where("label = 3").select(F.col("vec_id").cast("string").alias("unit_id"), "embedding")
-    return rank.near_duplicate_pairs(v, -2.0)
-
-
-@query()
-def cosine_pairs_all(spark, d):
-    """Every pair of the table; ``tests/test_rank.py`` holds it against brute force."""
+    """Every pair of the table; ``tests/test_rank.py`` holds it against brute force too."""
     return rank.near_duplicate_pairs(I.vectors(spark, d), -2.0)
 
 
@@ -318,6 +312,11 @@ def near_dup_pairs(spark, d):
     return rank.near_duplicate_pairs(I.vectors(spark, d), 0.9)
 
 
+@query(f"SELECT * FROM ({S_PAIRS}) WHERE score >= 0.35")
+def near_dup_pairs_loose(spark, d):
+    return rank.near_duplicate_pairs(I.vectors(spark, d), 0.35, block_rows=128)
+
+
 @query(f"WITH {S_KNN.format(k=100)} SELECT id, raw AS score FROM knn WHERE raw >= 0.2 AND id <> '7'")
 def link_threshold(spark, d):
     return rank.knn(I.vectors(spark, d), _q7(spark, d), 100).where("score >= 0.2 AND id <> '7'")
@@ -581,12 +580,13 @@ def log_compact(spark, d):
 # projections
 
 _C = f"{I.S_DOCS}, {I.s_compact('d', 'content')}, e AS (SELECT *, {I.s_tokens('content')} AS token_count, {I.s_tokens('compact_content')} AS ct FROM compacted)"
-_META = "id, collection, 'doc' AS content_type, lang, token_count, CASE WHEN ct > 0 THEN ct END AS compact_token_count, CASE WHEN ct > 0 THEN token_count - ct END AS tokens_saved"
+_META = "id, collection, 'doc' AS content_type, lang, source, created_at, created_at AS updated_at, token_count, CASE WHEN ct > 0 THEN ct END AS compact_token_count, CASE WHEN ct > 0 THEN token_count - ct END AS tokens_saved"
 
 
 def _projected(spark, d, detail):
     p = model.project(I.entries(spark, d), detail)
-    return p.withColumn("lang", F.col("metadata")["lang"]).drop("metadata", "created_at", "updated_at", "chunks")
+    p = p.withColumns({k: F.col("metadata")[k] for k in ("lang", "source")}).drop("metadata")
+    return p.withColumn("chunks", F.array_join(F.transform("chunks", lambda c: F.concat(c["index"].cast("string"), F.lit(" "), c["parent_id"], F.lit(" "), F.sha2(c["text"], 256))), ";")) if detail == "full" else p
 
 
 @query(f"WITH {_C} SELECT {_META} FROM e")
@@ -599,7 +599,8 @@ def project_summary(spark, d):
     return _projected(spark, d, "summary")
 
 
-@query(f"WITH {_C} SELECT {_META}, content, compact_content, '' AS summary FROM e")
+@query(f"WITH {_C}, ch AS (SELECT *, {I.s_chunks('content', 512)} AS cs FROM e) SELECT {_META}, content, compact_content, '' AS summary, "
+       "array_to_string(list_transform(range(0, len(cs)), lambda i: i || ' ' || id || ' ' || sha256(cs[i + 1])), ';') AS chunks FROM ch")
 def project_full(spark, d):
     return _projected(spark, d, "full")
 

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KINDS = ("*.go", "*.md", "*.yml", "*.yaml", "*.toml", "*.mod", "Dockerfile*", "Makefile", ".gitignore")
-
-
 def classify_path(rel, name: str):
     """(content_type, collection, dir, ext, is_test) columns of a relative path."""
     ext = F.regexp_extract(rel, "([^.]*)$", 1)

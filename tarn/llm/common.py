@@ -36,10 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, most: int = 200_000) -> DataFrame:
-    """``df``, materialised, and marked for broadcast only if it has at most ``most`` rows."""
+def small(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """``df``, materialised, and marked for broadcast only if its values take at most about ``most`` bytes."""
     df = cut(df)
-    return F.broadcast(df) if df.count() <= most else df
+    width = sum((F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) + 32 if f.dataType.simpleString() == "string" else F.lit(16) for f in df.schema.fields), F.lit(32))
+    size = df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= most else df
 
 
 def any_of(words) -> str:

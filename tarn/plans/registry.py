@@ -235,7 +235,7 @@ def _index(spark, d) -> Postings:
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
     f = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
     key = spark.sparkContext.applicationId, f.getPath().toString(), f.getModificationTime(), f.getLen()
-    if key not in _indexes:
+    if key not in _indexes or not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(_indexes[key][0])):
         path, units = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}", I.doc_units(spark, d)
         write_postings(units, path)
         _indexes[key] = path, measure(units)
@@ -837,10 +837,10 @@ def stream_last_calls(spark, d):
     return streams.last_calls(spark, d, 20)
 
 
-@query("""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch(ts) AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
-r AS (SELECT key, at, n, 5.0::DOUBLE AS tokens FROM e WHERE n = 1
-      UNION ALL SELECT e.key, e.at, e.n, least(5.0::DOUBLE, r.tokens - (r.tokens >= 1)::INT + (e.at - r.at) * 0.001::DOUBLE) FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)
-SELECT key, at, tokens >= 1 AS allowed FROM r""")
+@query("""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch(ts) AS w, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+r AS (SELECT key, w, n, 5.0::DOUBLE AS tokens FROM e WHERE n = 1
+      UNION ALL SELECT e.key, e.w, e.n, least(5.0::DOUBLE, r.tokens - (r.tokens >= 1)::INT + (e.w - r.w) * 0.001::DOUBLE) FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)
+SELECT key, w AS "at", tokens >= 1 AS allowed FROM r""")
 def stream_token_bucket(spark, d):
     return streams.token_buckets(spark, d)
 

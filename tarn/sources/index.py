@@ -46,10 +46,7 @@ class Postings:
     def all(self) -> DataFrame:
         if not self.paths:
             return self.spark.createDataFrame([], SCHEMA)
-        rows = None
-        for path in self.paths:
-            part = self.spark.read.schema(SCHEMA).parquet(path)
-            rows = part if rows is None else rows.unionByName(part)
+        rows = self.spark.read.schema(SCHEMA).parquet(*self.paths)
         if self.dead is not None:
             rows = rows.withColumn("doc_", X.document_of(F.col("unit_id"))).join(self.dead.select(F.col("id").alias("doc_")), "doc_", "left_anti").drop("doc_")
         return rows

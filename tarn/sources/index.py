@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +47,9 @@ class Postings:
     def all(self) -> DataFrame:
         if not self.paths:
             return self.spark.createDataFrame([], SCHEMA)
-        rows = self.spark.read.schema(SCHEMA).parquet(*self.paths)
+        # each batch has bucket folders of its own, so it is a scan of its own
+        parts = [self.spark.read.schema(SCHEMA).parquet(path) for path in self.paths]
+        rows = reduce(DataFrame.unionByName, parts)
         if self.dead is not None:
             rows = rows.withColumn("doc_", X.document_of(F.col("unit_id"))).join(self.dead.select(F.col("id").alias("doc_")), "doc_", "left_anti").drop("doc_")
         return rows

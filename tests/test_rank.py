@@ -100,3 +100,40 @@ def test_a_bucket_of_tokens_in_any_order(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(tuple(r) for r in spark.table("poured").collect()) == sorted(want)
+
+
+def test_terms_split_in_arrow_are_those_of_the_jvm(spark):
+    """Every character of Unicode, between letters and alone, and rows without terms."""
+    from pyspark.sql import functions as F
+
+    from tarn.functions import text as X
+
+    plain = [chr(c) for c in (*range(1, 0x250), *range(0x2000, 0x2070))]
+    texts = [f"Ab{c}Cd {c}{c} x{c}" for c in plain] + [f"É{chr(c)}z" for c in range(0x250, 0x11000, 7) if not 0xD800 <= c < 0xE000] + ["", None, " .. ", "a A á Á a"]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "unit_id string, text string")
+    want = rows.select("unit_id", F.size(X.terms(F.col("text"))).alias("dl"), F.explode(X.terms(F.col("text"))).alias("term")).groupBy("unit_id", "dl", "term").agg(F.count("*").alias("tf"))
+    got = rank.postings(rows)
+    assert sorted(map(tuple, got.select("unit_id", "dl", "term", "tf").collect())) == sorted(map(tuple, want.collect()))
+    assert got.agg(F.sum("starts")).first()[0] == want.select("unit_id").distinct().count()
+
+
+def test_postings_are_counted_without_a_shuffle_and_ids_may_repeat(spark):
+    rows = spark.createDataFrame([("a", "x y x"), ("b", "x"), ("a", "x y x"), ("a", "z")], "unit_id string, text string")
+    assert sorted((r["unit_id"], r["dl"], r["term"], r["tf"], r["starts"]) for r in rank.postings(rows).collect() if r["term"] != "y") == [("a", 1, "z", 1, 1), ("a", 3, "x", 4, 2), ("b", 1, "x", 1, 1)]
+    once = rows.where("text <> 'z'").limit(2)
+    assert "Exchange" not in rank.postings(once.checkpoint())._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_postings_give_the_size_of_the_collection(spark, tmp_path):
+    from tarn.sources import index
+
+    units = spark.createDataFrame([("a", "x y x"), ("b", " "), ("c", "Z"), ("d", None)], "unit_id string, text string")
+    index.write_postings(units, str(tmp_path / "p"))
+    assert index.measured(spark, [str(tmp_path / "p")]) == index.measure(units) == (2, 4)
+
+
+def test_a_prefiltered_search_builds_no_index(spark, sf, monkeypatch):
+    from tarn.plans import registry
+
+    monkeypatch.setattr(registry, "_index", lambda *_: 1 / 0)
+    assert registry.QUERIES["hybrid_prefilter"](spark, sf).columns

@@ -137,3 +137,20 @@ def test_a_prefiltered_search_builds_no_index(spark, sf, monkeypatch):
 
     monkeypatch.setattr(registry, "_index", lambda *_: 1 / 0)
     assert registry.QUERIES["hybrid_prefilter"](spark, sf).columns
+
+
+def test_pairs_leave_a_task_in_strips(spark, monkeypatch):
+    """All pairs of one block, a few at a time: the task never holds them all."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.group import GroupedData
+
+    seen = {}
+    whole = GroupedData.applyInArrow
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda self, f, schema: seen.update(f=f) or whole(self, f, schema))
+    rank.near_duplicate_pairs(spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "unit_id string, embedding array<float>"), -2.0)
+    n = 1500
+    v = pa.array(np.random.default_rng(1).normal(size=(n, 8)).astype(np.float32).tolist(), pa.list_(pa.float32()))
+    sides = [pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array([f"v{i}" for i in range(n)]), v, pa.array([left] * n)], ["i", "j", "id", "v", "left"]) for left in (True, False)]
+    sizes = [len(b) for b in seen["f"](iter(sides))]
+    assert sum(sizes) == n * (n - 1) // 2 and max(sizes) <= 1 << 18

@@ -68,7 +68,28 @@ def trim_blank(text: Column) -> Column:
 def strip_fillers(text: Column) -> Column:
     """Filler phrases removed wherever they stand, without case: each until none is left, then the next.
 
-    A fold over the phrases. What a removal joins to the same phrase again
+    No phrase has a full stop or line break, so what stands between two of them is
+    settled on its own, and only where it holds a phrase at all.
+    """
+    some = _any_filler()
+
+    def pieces(t: Column) -> Column:
+        parts = F.split(t, "(?<=[.\\n])", -1)
+        return F.when(t.rlike(some), F.array_join(F.transform(parts, lambda p: F.when(p.rlike(some), _without_fillers(p)).otherwise(p)), "")).otherwise(t)
+
+    return bind(text, pieces)
+
+
+def _any_filler() -> str:
+    """A pattern of the phrases, told apart by their first letters; case counts for ASCII only, as in their removal."""
+    by_first: dict[str, list[str]] = {}
+    for p in FILLERS:
+        by_first.setdefault(p[0], []).append(p[1:] + " ")
+    return "(?i)(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_first.items()) + ")"
+
+
+def _without_fillers(text: Column) -> Column:
+    """A fold over the phrases. What a removal joins to the same phrase again
     goes in further rounds, as many as it takes; a round that is not needed
     costs a look at a flag.
     """

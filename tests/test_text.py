@@ -129,3 +129,13 @@ def test_files(spark, tmp_path):
     (tmp_path / "users.json").write_text('[{"id": "a"}, {"id": "b"}]')
     assert files.json_table(spark, str(tmp_path / "users.json"), "id string").count() == 2
     assert files.json_table(spark, str(tmp_path / "none.json"), "id string").count() == 0
+
+
+def test_fillers_are_looked_for_between_stops(spark):
+    """What holds no phrase is left alone: a long text with a few deep ones is settled in pieces, stops and line breaks staying where they are."""
+    assert not any(c in p for p in X.FILLERS for c in ".\n")
+    texts = ["in\n order to x", "in order. to. in order to\n\nin In Order To order to y. please note thatİ z", ".\n..\n", "in order to ", "a.\nbasically, .\n", None]
+    got = [r["f"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.strip_fillers(F.col("t")).alias("f")).collect()]
+    assert got == [t if t is None else no_fillers(t) for t in texts]
+    plan = str(spark.createDataFrame([("x",)], "t string").select(X.strip_fillers(F.col("t")))._jdf.queryExecution().optimizedPlan())
+    assert "split(" in plan and plan.index("split(") < plan.index("regexp_replace")
